@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, quality, rollup
+from . import ann, bpe, html_text, langid, quality, rollup
 from .scratch import new_path, written
 
 #: Folder of the tokenizer vocabularies; a parameter of the deployment.
@@ -52,15 +52,34 @@ FROM d WHERE rn = 1 GROUP BY source, lang
 """
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learned(docs.where(langid.fold() != 1))
+    out = langid.predicted(docs, model)
+    return out.select("doc_id", (langid.fold() == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_neighbours": op3_neighbours,
         "op5_quality_rules": op5_quality_rules,
         "op7_token_counts": op7_token_counts,
+        "op8_langid": op8_langid,
         "op9_bpe": op9_bpe,
+        "op10_html_text": op10_html_text,
     }
 
 
