@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, langid, quality, rollup
+from . import ann, bpe, html_text, langid, quality, rollup, substrings
 from .scratch import new_path, written
 
 #: Folder of the tokenizer vocabularies; a parameter of the deployment.
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -75,6 +80,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_neighbours": op3_neighbours,
+        "op4_substrings": op4_substrings,
         "op5_quality_rules": op5_quality_rules,
         "op7_token_counts": op7_token_counts,
         "op8_langid": op8_langid,

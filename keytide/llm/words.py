@@ -115,13 +115,25 @@ def word_hashes(data: np.ndarray, w: Words, seed: int = 0) -> np.ndarray:
     return h
 
 
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word runs that start at each position; len(h) - k + 1 of them, across texts too."""
+def gram_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hashes of the k-word runs that start at each position; len(h) - k + 1 of them, across texts too.
+
+    Runs of 1, 2, 4, ... words are built by doubling, and those in k's binary form are put together.
+    """
     n = max(0, h.size - k + 1)
-    g = np.zeros(n, np.uint64)
-    for j in range(k):
-        g = g * _A + h[j : j + n]
-    return mix(g)
+    if not n:
+        return np.zeros(0, np.uint64)
+    times = lambda words: np.uint64(pow(base, words, 2**64))
+    out, done, block, width = None, 0, h, 1
+    while True:
+        if k & width:
+            out = block if out is None else out[: block.size - done] * times(width) + block[done:]
+            done += width
+        if 2 * width > k:
+            break
+        block = block[:-width] * times(width) + block[width:]
+        width *= 2
+    return mix(out[:n])
 
 
 def within(w: Words, k: int) -> np.ndarray:
