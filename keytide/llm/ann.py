@@ -5,7 +5,8 @@ common vector is one entry. A bounded sample of classes is halved again and agai
 means are the centroids, linked to a neighbour graph that is searched in memory. Every class goes to its nearest list
 and, near a border, to up to ``COPIES`` lists whose distance is within ``BORDER`` of the nearest. A query's lists are
 those whose centroid lies within ``RATIO`` of the nearest centroid's distance. Lists are cut into blocks of bounded
-size, queries into groups, and each block answers a group with its nearest entries; the last step merges them.
+size, queries into groups, and each block answers a group with its nearest entries: first the blocks of the few nearest
+lists, then the others, which leave out what is farther than k + 1 entries already found; the last step merges them.
 
 What reaches the driver: the sample (``SAMPLE`` vectors), and one size for each list. The centroids that executors get
 are bounded by ``LISTS``.
@@ -30,7 +31,8 @@ from .scratch import written
 SAMPLE, LISTS, LIST_SIZE = 16384, 1024, 128
 COPIES, BORDER = 3, 1.1
 RATIO, BEAM, EDGES = 1.15, 256, 24
-BLOCK, GROUP, SEED = 4096, 1024, 5
+#: Lists searched first; entries of a list and queries that one task compares.
+NEAR, BLOCK, GROUP, SEED = 4, 4096, 1024, 5
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -113,7 +115,7 @@ class Graph:
 
 
 def listed(df: DataFrame, graph: Graph, beam: int, ratio: float, most: int | None) -> DataFrame:
-    """df with a row for each list of its vector: those within ``ratio`` of the nearest (``most`` at most)."""
+    """df with a row for each list of its vector, those within ``ratio`` of the nearest (``most`` at most): list and nth (0: nearest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +128,30 @@ def listed(df: DataFrame, graph: Graph, beam: int, ratio: float, most: int | Non
                     ok[:, most:] = False
                 r, c = np.nonzero(ok)
                 out = part.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at[r, c], pa.int32())], names=[*part.schema.names, "list"])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at[r, c], pa.int32()), pa.array(c, pa.int32())], names=[*part.schema.names, "list", "nth"])
 
-    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", list int")
+    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", list int, nth int")
+
+
+def searched(posted: DataFrame, probing: DataFrame, cut: DataFrame, k: int) -> DataFrame:
+    """(qid, ids, score): of every block of a probed list its k + 1 nearest classes, none beyond the query's ``most``."""
+    left = posted.join(F.broadcast(cut), "list").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    right = probing.join(F.broadcast(cut), "list").withColumn("group", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def answer(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            v, q = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
+            cid, ids = a["cid"].to_numpy(), a["ids"].to_numpy()
+            for qid, x, most in zip(b["qid"].to_numpy(), q, b["most"].to_numpy()):
+                d = np.sqrt(((v - x) ** 2).sum(axis=1))
+                some = np.flatnonzero(d <= (min(most, np.partition(d, k)[k]) if len(d) > k + 1 else most))
+                some = some[np.lexsort((cid[some], d[some]))][: k + 1]
+                out += [(qid, ids[j], d[j]) for j in some]
+        return pd.DataFrame(out, columns=["qid", "ids", "score"])
+
+    key = ["list", "block", "group"]
+    return left.select(*key, "cid", "ids", "vec").groupBy(*key).cogroup(right.select(*key, "qid", "vec", "most").groupBy(*key)).applyInPandas(answer, "qid long, ids array<long>, score double")
 
 
 def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -155,26 +178,14 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     cut = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     cut = cut.join(probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")), "list")
     cut = spark.createDataFrame(cut.toPandas(), "list int, blocks int, groups int")
-    left = posted.join(F.broadcast(cut), "list").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    right = probing.join(F.broadcast(cut), "list").withColumn("group", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def answer(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": [], "ids": [], "score": []})
-        v, q = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
-        cid, ids, out = a["cid"].to_numpy(), a["ids"].to_numpy(), []
-        for i, qid in enumerate(b["qid"].to_numpy()):
-            d = np.sqrt(((v - q[i]) ** 2).sum(axis=1))
-            if len(d) > k + 1:
-                some = np.flatnonzero(d <= np.partition(d, k)[k])
-                some = some[np.lexsort((cid[some], d[some]))][: k + 1]
-            else:
-                some = np.arange(len(d))
-            out += [(qid, ids[j], d[j]) for j in some]
-        return pd.DataFrame(out, columns=["qid", "ids", "score"])
 
-    key = ["list", "block", "group"]
-    found = left.select(*key, "cid", "ids", "vec").groupBy(*key).cogroup(right.select(*key, "qid", "vec").groupBy(*key)).applyInPandas(answer, "qid long, ids array<long>, score double")
+    # the nearest lists bound the distance, so that the others only answer with what may matter
+    near = written(searched(posted, probing.where(F.col("nth") < NEAR).withColumn("most", F.lit(float("inf"))), cut, k), "ann-near")
+    by_class = near.select("qid", "score", F.col("ids")[0].alias("cid")).distinct()
+    by_class = by_class.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("score", "cid"))).where(F.col("_n") == k + 1)
+    most = by_class.select("qid", F.col("score").alias("most"))
+    rest = probing.where(F.col("nth") >= NEAR).join(most, "qid", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+    found = near.unionByName(searched(posted, rest, cut, k))
     found = found.select("qid", "score", F.explode("ids").alias("vec_id")).distinct()
     found = found.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("score", "vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
     rows = asked.join(wanted, "vec").select(F.col("id").alias("query_id"), "qid").join(found, "qid").where("vec_id != query_id")
