@@ -7,7 +7,7 @@ of counts of windows. Three steps narrow the windows down, and none loses a repe
 1. Count-min prefilter: every partition builds a sketch of its documents' anchors (two rows of cells that tell none,
    one or more documents); the merged sketch, of fixed size, overestimates the counts.
 2. Anchors estimated as repeated are grouped exactly, as (anchor, document) rows.
-3. Windows under exactly repeated anchors are grouped exactly by 128-bit hashes. A task first settles all but the
+3. Windows under exactly repeated anchors are grouped exactly by 128 bits (anchor and window hash). A task first settles all but the
    smallest document of each window among its own rows, so a window that very many documents share arrives once from
    each task.
 
@@ -157,66 +157,80 @@ def repeated_anchors(texts: DataFrame, bits: np.ndarray, window: int, gram: int)
     found = written(texts.select("id", "th", "text").mapInArrow(run, "id long, th long, anchor long"), "anchors")
     who = F.struct("id", "th")
     again = found.groupBy("anchor").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("NOT (a <=> b)").select("anchor")
-    return found.join(again, "anchor").groupBy("id", "th").agg(F.collect_list("anchor").alias("anchors"))
+    return written(found.join(again, "anchor").groupBy("id", "th").agg(F.collect_list("anchor").alias("anchors")), "anchored")
 
 
 def blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """Binary values: the bytes of values[at[i]:at[i + 1]]."""
     raw = np.ascontiguousarray(values)
-    width = raw.dtype.itemsize * (raw.shape[1] if raw.ndim > 1 else 1)
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(raw.tobytes())])
-
-
-def bounds(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys start, and the end."""
-    n = keys[0].size
-    if not n:
-        return np.zeros(1, np.int64)
-    new = np.zeros(n, bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.concatenate([np.flatnonzero(new), [n]])
-
-
-def smallest(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each window the smallest id among equal windows."""
-    order = np.lexsort((ids, lo, hi))
-    at = bounds(hi[order], lo[order])
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * raw.dtype.itemsize).astype(np.int32)), pa.py_buffer(raw.tobytes())])
+
+
+def bounds(n: int, new: np.ndarray) -> np.ndarray:
+    """Where runs start (new[i]: entry i + 1 starts one), and the end."""
+    return np.concatenate([np.zeros(min(n, 1), np.int64), np.flatnonzero(new) + 1, [n]])
+
+
+def smallest(anchor: np.ndarray, hashed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window the smallest id among equal windows; two 64-bit hashes tell windows apart."""
+    order = np.lexsort((ids, hashed, anchor))
+    x, y = anchor[order], hashed[order]
+    at = bounds(ids.size, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
     out = np.empty(ids.size, np.int64)
     out[order] = np.repeat(ids[order][at[:-1]], np.diff(at))
     return out
 
 
+BITS = 1 << 25
+
+
+def bit_of(*cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(BITS))
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the rows' (id, th), built on the executors; it may hold others, but misses none."""
+    at = bit_of("id", "th") + 1  # Spark's buckets and places start at value 1
+    parts = keys.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    size = 32768 // 8
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in parts:
+        out[(r["part"] - 1) * size : r["part"] * size] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, at: pa.Array) -> np.ndarray:
+    """Whether the bitmap has each of the bit numbers."""
+    i = at.to_numpy(zero_copy_only=False)
+    return (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+
+
 def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, groups: int) -> DataFrame:
-    """(id, th, pos): starts of removed windows as int32 bytes, possibly in several rows for a row of texts."""
-    schema = "part int, id long, th long, hash binary, pos binary"
+    """(id, th, runs): removed windows as pairs of int32 (first start, number), possibly in several rows for a text."""
+    schema = "part int, id long, th long, anchor long, first int, number int, hash binary"
+    names = ["part", "id", "th", "anchor", "first", "number", "hash"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         keys: list[tuple[int | None, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            hi, lo, row, pos = (np.concatenate(x) for x in zip(*held))
+            anchor, hashed, row, pos = (np.concatenate(x) for x in zip(*held))
             ids = np.array([LAST if k[0] is None else k[0] for k in keys], np.int64)[row]
-            first = smallest(hi, lo, ids)
-            stays = ids == first
-            part = np.where(stays, (hi >> np.uint64(33)) % np.uint64(groups), 0).astype(np.int64)
-            part[~stays] = -1
-            order = np.lexsort((pos, row, part))
-            hi, lo, row, pos, part = (x[order] for x in (hi, lo, row, pos, part))
-            at = bounds(part, row)
-            both = np.stack([hi, lo], axis=1)
-            cut = int(np.searchsorted(part, 0))  # settled here: no hashes needed
-            lost = np.minimum(at, cut)
-            data = both.copy() if not cut else np.concatenate([both[:0], both[cut:]])
-            heads = at[:-1]
+            stays = ids == smallest(anchor, hashed, ids)
+            # runs of neighbouring windows under one anchor with the same lot
+            new = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (stays[1:] != stays[:-1])
+            at = bounds(row.size, new)
+            head = at[:-1]
+            part = np.where(stays[head], (mix(anchor[head]) % np.uint64(groups)).astype(np.int64), -1)
+            size = np.where(stays[head], np.diff(at), 0)  # what is settled here needs no hashes
+            sent = hashed[np.repeat(stays[head], np.diff(at))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(part[heads], pa.int32()), pa.array([keys[i][0] for i in row[heads]], pa.int64()), pa.array([keys[i][1] for i in row[heads]], pa.int64()),
-                    blobs(data, at - lost), blobs(pos, at),
+                    pa.array(part, pa.int32()), pa.array([keys[i][0] for i in row[head]], pa.int64()), pa.array([keys[i][1] for i in row[head]], pa.int64()), pa.array(i64(anchor[head])),
+                    pa.array(pos[head], pa.int32()), pa.array(np.diff(at), pa.int32()), blobs(sent, np.concatenate([[0], np.cumsum(size)])),
                 ],
-                names=["part", "id", "th", "hash", "pos"],
+                names=names,
             )
             held.clear()
             keys.clear()
@@ -238,8 +252,7 @@ def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, group
                         here = slice(edge[i], edge[i + 1])
                         ok[here] = np.isin(anchor[here], wanted[at[i] : at[i + 1]])
                     start, own = start[ok], own[ok]
-                    hi, lo = (gram_hashes(h, window, b)[start] for b in BASES)
-                    held.append((hi, lo, own + len(keys), (start - w.at[own]).astype(np.int32)))
+                    held.append((anchor[ok], gram_hashes(h, window, BASES[1])[start], own + len(keys), (start - w.at[own]).astype(np.int32)))
                     size += start.size
                     keys += zip(batch.column(0).slice(t.first, t.rows).to_pylist(), batch.column(1).slice(t.first, t.rows).to_pylist())
                 if size >= CHUNK:
@@ -249,42 +262,50 @@ def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, group
             yield from flush()
 
     def group(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        one = lambda c: table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0)
-        raw = [x.as_buffer() for x in one("pos")]
-        count = np.array([x.size // 4 for x in raw], np.int64)
-        pos = np.frombuffer(b"".join(raw), np.int32)
-        both = np.frombuffer(b"".join(x.as_buffer() for x in one("hash")), np.uint64).reshape(-1, 2)
-        ids = np.repeat(np.array([LAST if x is None else x for x in one("id").to_pylist()], np.int64), count)
-        row = np.repeat(np.arange(count.size), count)
-        lost = ids > smallest(both[:, 0], both[:, 1], ids)
-        row, pos = row[lost], pos[lost]
-        at = bounds(row)
-        heads = pa.array(row[at[:-1]])
-        return pa.table({"id": one("id").take(heads), "th": one("th").take(heads), "pos": blobs(pos, at)})
-
-    rows = texts.join(anchored, texts["id"].eqNullSafe(anchored["id"]) & (texts["th"] == anchored["th"])).select(texts["id"], texts["th"], "text", "anchors")
+        one = {c: table.column(c).combine_chunks() for c in ("id", "th", "anchor", "first", "number", "hash")}
+        number = one["number"].to_numpy().astype(np.int64)
+        hashed = np.frombuffer(b"".join(x.as_buffer() for x in one["hash"]), np.uint64)
+        run = np.repeat(np.arange(number.size), number)
+        pos = one["first"].to_numpy()[run] + np.arange(run.size) - (np.cumsum(number) - number)[run]
+        ids = np.array([LAST if x is None else x for x in one["id"].to_pylist()], np.int64)[run]
+        lost = ids > smallest(one["anchor"].to_numpy().view(np.uint64)[run], hashed, ids)
+        run, pos = run[lost], pos[lost]
+        at = bounds(run.size, (run[1:] != run[:-1]) | (pos[1:] != pos[:-1] + 1))
+        head = pa.array(run[at[:-1]])
+        return pa.table({"id": one["id"].take(head), "th": one["th"].take(head), "first": pa.array(pos[at[:-1]], pa.int32()), "number": pa.array(np.diff(at), pa.int32())})
+
+    rows = chosen(texts, anchored).alias("x").join(anchored.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.th") == F.col("y.th"))).select("x.id", "x.th", "x.text", "y.anchors")
     parts = written(rows.mapInArrow(split, schema), "windows")
-    far = parts.where("part >= 0").select("part", "id", "th", "hash", "pos").groupBy("part").applyInArrow(group, "id long, th long, pos binary")
-    return parts.where("part < 0").select("id", "th", "pos").unionByName(far)
+    far = parts.where("part >= 0").groupBy("part").applyInArrow(group, "id long, th long, first int, number int")
+    return parts.where("part < 0").select("id", "th", "first", "number").unionByName(far)
+
+
+def chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose (id, th) are in the bitmap of ``keys``: all that a join with keys can match, and few others."""
+    bits = rows.sparkSession.sparkContext.broadcast(key_bits(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(bits.value, batch.column(batch.num_columns - 1))))
+
+    out = rows.withColumn("_bit", bit_of("id", "th"))
+    return out.mapInArrow(run, out.schema).drop("_bit")
 
 
 def removed_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, th, starts): for each row that loses words the starts of its removed windows; th is xxhash64 of the text."""
+    """(id, th, runs): for each row that loses words its removed windows (first start and number of neighbouring ones)."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     bits = merged_sketch(texts, window, gram)
     anchored = repeated_anchors(texts, bits, window, gram)
     groups = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return settled(texts, anchored, window, gram, groups).groupBy("id", "th").agg(F.collect_list("pos").alias("starts"))
+    return settled(texts, anchored, window, gram, groups).groupBy("id", "th").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
 
 
-def covered(n: int, starts: list[bytes], window: int) -> np.ndarray:
+def covered(n: int, runs: list[dict], window: int) -> np.ndarray:
     """Which of n words lie in a removed window."""
-    edge = np.zeros(n + window + 1, np.int64)
-    for raw in starts:
-        at = np.frombuffer(raw, np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, [r["first"] for r in runs], 1)
+    np.add.at(edge, [r["first"] + r["number"] - 1 + window for r in runs], -1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -293,39 +314,58 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns id_col, n_words, n_removed, spans (word numbers, first to last) and kept (words joined by one space). With
     ``whole_rows`` instead the rows of df, in which a row that loses words has its kept words as text_col, and rows
-    that lose all their words are left out.
+    that lose all their words are left out. Only rows that lose words (and few others) are shuffled.
     """
-    gone = removed_windows(df, id_col, text_col, window)
-    th = F.coalesce(F.xxhash64(text_col), F.lit(0))
-    rows = df.alias("d").withColumn("_th", th).join(gone.withColumnsRenamed({"id": "_id", "th": "_h"}), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left").drop("_id", "_h", "_th").withColumnRenamed("starts", "_starts")
-    names = df.columns
-    mine = [f for f in df.schema if f.name in ((id_col,) if not whole_rows else names)]
-    rows = rows.select(*[F.col(f"`{f.name}`") for f in mine if f.name != text_col], F.col(text_col).cast("string").alias(text_col), "_starts")
+    gone = written(removed_windows(df, id_col, text_col, window), "removed")
+    bits = df.sparkSession.sparkContext.broadcast(key_bits(gone))
+    names, schema = df.columns, df.schema
+    keep = names if whole_rows else [id_col]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep if c != text_col], F.col(text_col).cast("string").alias(text_col), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_th"))
+    rows = rows.withColumn("_bit", F.pmod(F.xxhash64("_id", "_th"), F.lit(BITS)))
+
+    def judged(batch: pa.RecordBatch, runs) -> pa.RecordBatch:
+        n, lost, spans, kept, stays = [], [], [], [], []
+        for x, at in zip(batch.column(batch.schema.get_field_index(text_col)), runs):
+            own = (x.as_py() or "").encode().split()
+            out = covered(len(own), at, window) if at else np.zeros(len(own), bool)
+            n.append(len(own))
+            lost.append(int(out.sum()))
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
+            spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])])
+            if whole_rows and not lost[-1]:
+                kept.append(x.as_py())
+            else:
+                kept.append(b" ".join([w for w, o in zip(own, out.tolist()) if not o] if lost[-1] else own).decode())
+            stays.append(not lost[-1] or lost[-1] < n[-1])
+        if whole_rows:
+            cols = [pa.array(kept, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
+            return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stays))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "spans", "kept"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                yield batch.slice(lo, 256)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                text, starts = (batch.column(batch.schema.get_field_index(c)) for c in (text_col, "_starts"))
-                n, lost, spans, kept, stays = [], [], [], [], []
-                for x, at in zip(text, starts):
-                    own = (x.as_py() or "").encode().split()
-                    out = covered(len(own), at.as_py(), window) if at.is_valid else np.zeros(len(own), bool)
-                    n.append(len(own))
-                    lost.append(int(out.sum()))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
-                    spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])])
-                    if whole_rows and not lost[-1]:
-                        kept.append(x.as_py())
-                    else:
-                        kept.append(b" ".join([w for w, o in zip(own, out.tolist()) if not o] if lost[-1] else own).decode())
-                    stays.append(not lost[-1] or lost[-1] < n[-1])
-                if whole_rows:
-                    cols = [pa.array(kept, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
-                    yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stays))
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "spans", "kept"])
+    def is_marked(batch: pa.RecordBatch) -> np.ndarray:
+        return marked(bits.value, batch.column(batch.schema.get_field_index("_bit")))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            batch = batch.filter(pa.array(~is_marked(batch)))
+            yield judged(batch, [None] * batch.num_rows)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            yield judged(batch, batch.column(batch.schema.get_field_index("_runs")).to_pylist())
+
+    def to_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(batch)))
 
     if whole_rows:
-        return rows.mapInArrow(run, ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in df.schema))
-    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<first: long, last: long>>, kept string")
+        result = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in schema)
+    else:
+        result = f"`{id_col}` {schema[id_col].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<first: long, last: long>>, kept string"
+    far = rows.mapInArrow(to_join, rows.schema).join(gone.withColumnsRenamed({"id": "_gid", "th": "_gth", "runs": "_runs"}), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left").drop("_gid", "_gth")
+    return rows.mapInArrow(untouched, result).unionByName(far.mapInArrow(touched, result))
