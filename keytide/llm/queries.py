@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, langid, quality, rollup, substrings
+from . import ann, bpe, html_text, jaccard, langid, licenses, quality, rollup, substrings
 from .scratch import new_path, written
 
 #: Folder of the tokenizer vocabularies; a parameter of the deployment.
@@ -57,6 +57,14 @@ FROM d WHERE rn = 1 GROUP BY source, lang
 """
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.neighbours(rows, rows.where("vec_id % 100 = 0"), 10)
@@ -79,6 +87,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard": op1_jaccard,
+        "op2_licenses": op2_licenses,
         "op3_neighbours": op3_neighbours,
         "op4_substrings": op4_substrings,
         "op5_quality_rules": op5_quality_rules,
@@ -90,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_token_counts": SQL_OP7}
+    return {"op2_licenses": licenses.sql(), "op7_token_counts": SQL_OP7}
