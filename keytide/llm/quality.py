@@ -173,33 +173,57 @@ def threshold(good: np.ndarray, bad: np.ndarray, most_lost: float = MOST_GOOD_LO
     return best / len(good) if gain[best] > 0 else 2.0
 
 
-def judged(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """stats with base_failed, score and kept. ``stats`` should be a written table: it is read three times."""
-    spark = stats.sparkSession
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_q"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    labelled = stats.where(~base).join(known, F.col(id_col) == F.col("_id")).select(id_col, *COUNTS, "_q")
-    sample = labelled.orderBy(F.xxhash64(id_col), *COUNTS).select(*COUNTS).limit(FOREST_ROWS).toPandas()
-    out = stats.withColumn("base_failed", base)
-    if not len(sample):
-        return out.withColumn("score", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
-    forest = Forest(features({c: sample[c].to_numpy() for c in COUNTS}))
+def base_failed(n_words, n_repeat_words):
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def scored(df: DataFrame, forest: Forest) -> DataFrame:
+    """df (with COUNTS) and the forest's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = features({c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.scores(rows), pa.float64())], names=[*batch.schema.names, "score"])
 
-    def scored(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double")
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double")
+
 
-    bins = scored(labelled).groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum((F.col("_q") == 1).cast("long")).alias("good"), F.sum((F.col("_q") != 1).cast("long")).alias("bad")).toPandas()
+def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple[Forest | None, float]:
+    """The forest and the score from which it rejects; no forest without labelled rows."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_q"))
+    passing = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    labelled = passing.join(known, F.col(id_col) == F.col("_id")).select(id_col, *COUNTS, "_q")
+    sample = labelled.orderBy(F.xxhash64(id_col), *COUNTS).select(*COUNTS).limit(FOREST_ROWS).toPandas()
+    if not len(sample):
+        return None, 2.0
+    forest = Forest(features({c: sample[c].to_numpy() for c in COUNTS}))
+    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    bins = scored(labelled, forest).groupBy(place.alias("bin")).agg(F.sum((F.col("_q") == 1).cast("long")).alias("good"), F.sum((F.col("_q") != 1).cast("long")).alias("bad")).toPandas()
     good, bad = np.zeros(BINS), np.zeros(BINS)
     good[bins["bin"]], bad[bins["bin"]] = bins["good"], bins["bad"]
-    cut = threshold(good, bad)
-    return scored(out).withColumn("kept", ~F.col("base_failed") & (F.col("score") < cut))
+    return forest, threshold(good, bad)
 
 
 def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The statistics and verdict of every row of ``df``."""
-    return judged(written(statistics(df, id_col, text_col), "rule-stats"), labels, id_col)
+    """The statistics of every row of ``df`` with base_failed, score and kept."""
+    stats = written(statistics(df, id_col, text_col), "rule-stats")
+    forest, cut = fitted(stats, labels, id_col)
+    out = stats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    out = scored(out, forest) if forest else out.withColumn("score", F.lit(0.0))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") < cut))
+
+
+def passing(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that quality() keeps, each judged by its own text; a second pass over the texts, no shuffle."""
+    forest, cut = fitted(written(statistics(df, id_col, text_col), "rule-stats"), labels, id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in slices(batch.column(batch.schema.get_field_index(text_col))):
+                got = rule_counts(t)
+                keep = ~base_failed(got["n_words"], got["n_repeat_words"])
+                if forest:
+                    keep &= forest.scores(features(got)) < cut
+                yield batch.slice(t.first, t.rows).filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, jaccard, langid, licenses, quality, rollup, substrings
+from . import ann, bpe, html_text, jaccard, langid, licenses, mixing, quality, rollup, substrings
 from .scratch import new_path, written
 
 #: Folder of the tokenizer vocabularies; a parameter of the deployment.
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selected(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents enter with an estimate from n_chars, get exact counts, and exact copies leave; batches are sent twice."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_neighbours": op3_neighbours,
         "op4_substrings": op4_substrings,
         "op5_quality_rules": op5_quality_rules,
+        "op6_mixing": op6_mixing,
         "op7_token_counts": op7_token_counts,
         "op8_langid": op8_langid,
         "op9_bpe": op9_bpe,
@@ -100,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.sql(), "op7_token_counts": SQL_OP7}
+    return {"op2_licenses": licenses.sql(), "op6_mixing": mixing.sql(), "op7_token_counts": SQL_OP7}

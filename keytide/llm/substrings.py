@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .routing import bit_of, chosen, key_bits, marked
 from .scratch import written
 from .words import Texts, Words, gram_hashes, i64, mix, slices, within, word_hashes, words
 
@@ -36,6 +37,7 @@ CELLS, ROWS, PARTS = 1 << 24, 2, 16
 CHUNK = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LAST = np.iinfo(np.int64).max
+KEY = ["id", "th"]
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -181,30 +183,6 @@ def smallest(anchor: np.ndarray, hashed: np.ndarray, ids: np.ndarray) -> np.ndar
     return out
 
 
-BITS = 1 << 25
-
-
-def bit_of(*cols: str):
-    return F.pmod(F.xxhash64(*cols), F.lit(BITS))
-
-
-def key_bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the rows' (id, th), built on the executors; it may hold others, but misses none."""
-    at = bit_of("id", "th") + 1  # Spark's buckets and places start at value 1
-    parts = keys.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
-    size = 32768 // 8
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in parts:
-        out[(r["part"] - 1) * size : r["part"] * size] = np.frombuffer(bytes(r["map"]), np.uint8)
-    return out
-
-
-def marked(bits: np.ndarray, at: pa.Array) -> np.ndarray:
-    """Whether the bitmap has each of the bit numbers."""
-    i = at.to_numpy(zero_copy_only=False)
-    return (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
-
-
 def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, groups: int) -> DataFrame:
     """(id, th, runs): removed windows as pairs of int32 (first start, number), possibly in several rows for a text."""
     schema = "part int, id long, th long, anchor long, first int, number int, hash binary"
@@ -274,24 +252,12 @@ def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, group
         head = pa.array(run[at[:-1]])
         return pa.table({"id": one["id"].take(head), "th": one["th"].take(head), "first": pa.array(pos[at[:-1]], pa.int32()), "number": pa.array(np.diff(at), pa.int32())})
 
-    rows = chosen(texts, anchored).alias("x").join(anchored.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.th") == F.col("y.th"))).select("x.id", "x.th", "x.text", "y.anchors")
+    rows = chosen(texts, anchored, KEY).alias("x").join(anchored.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.th") == F.col("y.th"))).select("x.id", "x.th", "x.text", "y.anchors")
     parts = written(rows.mapInArrow(split, schema), "windows")
     far = parts.where("part >= 0").groupBy("part").applyInArrow(group, "id long, th long, first int, number int")
     return parts.where("part < 0").select("id", "th", "first", "number").unionByName(far)
 
 
-def chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose (id, th) are in the bitmap of ``keys``: all that a join with keys can match, and few others."""
-    bits = rows.sparkSession.sparkContext.broadcast(key_bits(keys))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(marked(bits.value, batch.column(batch.num_columns - 1))))
-
-    out = rows.withColumn("_bit", bit_of("id", "th"))
-    return out.mapInArrow(run, out.schema).drop("_bit")
-
-
 def removed_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, th, runs): for each row that loses words its removed windows (first start and number of neighbouring ones)."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
@@ -317,11 +283,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that lose all their words are left out. Only rows that lose words (and few others) are shuffled.
     """
     gone = written(removed_windows(df, id_col, text_col, window), "removed")
-    bits = df.sparkSession.sparkContext.broadcast(key_bits(gone))
+    bits = df.sparkSession.sparkContext.broadcast(key_bits(gone, KEY))
     names, schema = df.columns, df.schema
     keep = names if whole_rows else [id_col]
     rows = df.select(*[F.col(f"`{c}`") for c in keep if c != text_col], F.col(text_col).cast("string").alias(text_col), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_th"))
-    rows = rows.withColumn("_bit", F.pmod(F.xxhash64("_id", "_th"), F.lit(BITS)))
+    rows = rows.withColumn("_bit", bit_of(["_id", "_th"]))
 
     def judged(batch: pa.RecordBatch, runs) -> pa.RecordBatch:
         n, lost, spans, kept, stays = [], [], [], [], []
