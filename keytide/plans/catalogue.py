@@ -1,11 +1,435 @@
-"""Queries of the versioned key-value operators and their SQL."""
+"""Queries of the versioned key-value operators over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from keytide.functions.keys import fnv1a
+from keytide.model import Config
+from keytide.operators import blocks, bloom, merge, reads, resolve, snapshots, writes
 
-def oracle_sql() -> dict:
-    return {}
+from . import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+# The logs in SQL.
+EV = "ev AS (SELECT event_id AS seq, CAST(event_type = 'error' AS INT) AS op, printf('user:%05d', user_id) AS key, props AS value FROM events)"
+PAD = "lpad(CAST({} AS VARCHAR), 10, '0')"
+ORD = f"ord AS (SELECT o_orderkey AS seq, 0 AS op, {PAD.format('o_orderkey')} AS key, o_orderpriority AS value FROM orders)"
+PG = "pg AS (SELECT page_id AS seq, 0 AS op, url AS key, html AS value FROM pages)"
+RUNS = EV + ", runs AS (SELECT *, seq // (SELECT greatest(1, count(*) // 10) FROM events) AS run FROM ev)"
+CK = f"ck AS (SELECT DISTINCT {PAD.format('c_custkey * 20')} AS key FROM customer)"
+
+
+def newest(source: str, by: str = "key", order: str = "seq DESC", where: str = "TRUE") -> str:
+    return f"(SELECT * FROM {source} WHERE {where} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {order}) = 1)"
+
+
+def query(sql: str | None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+# reads
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev')} WHERE op = 0")
+def lww_view(spark, d):
+    return resolve.view(fx.events(spark, d))
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev', where=chr(39).join(['key >= ', 'user:00010', ' AND key < ', 'user:00050', '']))} WHERE op = 0")
+def range_scan(spark, d):
+    return reads.scan(fx.events(spark, d), "user:00010", "user:00050")
+
+
+@query(f"WITH {ORD} SELECT key, value, seq FROM ord WHERE key >= '0000000100' AND key < '0000000100'")
+def range_scan_empty(spark, d):
+    return reads.scan(fx.orders(spark, d), "0000000100", "0000000100")
+
+
+@query(f"WITH {ORD} SELECT key, value, seq FROM ord WHERE key >= '0000000200' AND key < '0000000100'")
+def range_scan_inverted(spark, d):
+    return reads.scan(fx.orders(spark, d), "0000000200", "0000000100")
+
+
+@query(f"WITH {ORD} SELECT key, value, seq FROM ord WHERE key < '0000000150'")
+def range_scan_open(spark, d):
+    return reads.scan(fx.orders(spark, d), None, "0000000150")
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev')} WHERE op = 0 ORDER BY key LIMIT 25")
+def scan_limit(spark, d):
+    return reads.scan(fx.events(spark, d), limit=25)
+
+
+@query(f"WITH {EV} SELECT key FROM {newest('ev')} WHERE op = 0")
+def key_scan(spark, d):
+    return reads.keys(fx.events(spark, d))
+
+
+@query(f"WITH {PG} SELECT key, length(value) AS n_chars FROM pg WHERE starts_with(key, 'https://')")
+def prefix_scan(spark, d):
+    return reads.prefix_scan(fx.pages(spark, d), "https://").select("key", F.length("value").cast("long").alias("n_chars"))
+
+
+@query(f"WITH {ORD} SELECT key, value, seq FROM ord WHERE key = '0000000042'")
+def point_get_hit(spark, d):
+    return reads.get(fx.orders(spark, d), "0000000042")
+
+
+@query(f"WITH {ORD} SELECT key, value, seq FROM ord WHERE key = 'no such key'")
+def point_get_miss(spark, d):
+    return reads.get(fx.orders(spark, d), "no such key")
+
+
+@query(f"WITH {EV} SELECT key, op = 1 AS deleted FROM {newest('ev')} WHERE op = 1")
+def point_get_deleted(spark, d):
+    """All keys that a get does not find although they were written: the newest row deletes them."""
+    return resolve.tombstones(resolve.latest_per_key(fx.events(spark, d))).select("key", (F.col("op") == 1).alias("deleted"))
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev')} WHERE op = 0 AND key >= 'user:00077' ORDER BY key LIMIT 1")
+def seek(spark, d):
+    return reads.first_at_or_after(fx.events(spark, d), "user:00077")
+
+
+@query(f"WITH {ORD}, {CK} SELECT ck.key, ord.key IS NOT NULL AS found, value FROM ck LEFT JOIN ord USING (key)")
+def multi_get(spark, d):
+    return reads.multi_get(fx.orders(spark, d), fx.customer_keys(spark, d))
+
+
+@query(f"WITH {ORD}, {CK} SELECT key FROM ck ANTI JOIN ord USING (key)")
+def multi_get_missing(spark, d):
+    return reads.missing(fx.orders(spark, d), fx.customer_keys(spark, d))
+
+
+@query(f"WITH {EV} SELECT count(*) AS n FROM {newest('ev')} WHERE op = 0")
+def live_count(spark, d):
+    return reads.live_count(fx.events(spark, d))
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev', where='seq <= 500')} WHERE op = 0")
+def snapshot_view(spark, d):
+    return resolve.view(fx.events(spark, d), 500)
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev', where='seq <= 700')} WHERE op = 0 AND key >= 'user:00020' AND key < 'user:00090'")
+def snapshot_range(spark, d):
+    return reads.scan(fx.events(spark, d), "user:00020", "user:00090", version=700)
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev')} WHERE op = 0")
+def get_equals_scan(spark, d):
+    """Every key by a batched get; the rows are those of a full scan."""
+    log = fx.events(spark, d)
+    found = reads.multi_get(log.select("seq", "op", "key", F.struct("seq", "value").alias("value")), log.select("key"))
+    return found.where("found").select("key", "value.value", "value.seq")
+
+
+# writes
+
+
+@query(
+    f"WITH li AS (SELECT *, {PAD.format('l_orderkey')} || '/' || l_linenumber AS key, concat_ws(',', l_partkey, l_suppkey, l_returnflag, l_linestatus) AS value FROM lineitem) "
+    + f"SELECT key, value FROM {newest('li', order='l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC')}"
+)
+def batch_overwrite(spark, d):
+    rows, order = fx.lineitem(spark, d)
+    return resolve.latest_per_key(rows, order=order).select("key", "value")
+
+
+@query(f"WITH {ORD} SELECT key, value FROM ord WHERE key >= (SELECT {PAD.format('count(*) // 2')} FROM orders)")
+def bulk_delete(spark, d):
+    """The first half of all keys is deleted after everything was put."""
+    log = fx.orders(spark, d)
+    half = log.agg(fx.padded(F.expr("count(*) div 2")).alias("half"))
+    gone = writes.delete_rows(log.join(F.broadcast(half), F.col("key") < F.col("half")).select("key"), "string").withColumn("seq", F.lit(10**12).cast("long"))
+    return resolve.view(log.unionByName(gone)).select("key", "value")
+
+
+@query(f"WITH {EV}, put AS (SELECT DISTINCT key, 'again' AS value FROM ev WHERE op = 1), v AS {newest('ev')} SELECT key, coalesce(put.value, v.value) AS value FROM v LEFT JOIN put USING (key) WHERE op = 0 OR put.key IS NOT NULL")
+def delete_then_put(spark, d):
+    """Whatever was ever deleted is put again."""
+    log = fx.events(spark, d)
+    again = writes.put_rows(log.where("op = 1").select("key").distinct().withColumn("value", F.lit("again"))).withColumn("seq", F.lit(10**12).cast("long"))
+    return resolve.view(log.unionByName(again)).select("key", "value")
+
+
+@query(f"WITH {ORD} SELECT key, value FROM ord WHERE value <> '1-URGENT'")
+def put_empty_is_delete(spark, d):
+    """Urgent orders are overwritten with an empty value, which deletes them."""
+    log = fx.orders(spark, d)
+    empty = writes.put_rows(log.where("value = '1-URGENT'").select("key", F.lit("").alias("value"))).withColumn("seq", F.lit(10**12).cast("long"))
+    return resolve.view(log.unionByName(empty)).select("key", "value")
+
+
+@query(f"WITH {ORD}, {CK} SELECT key, value FROM ord ANTI JOIN ck USING (key)")
+def blind_delete(spark, d):
+    """Keys are deleted whether they exist or not."""
+    log = fx.orders(spark, d)
+    gone = writes.delete_rows(fx.customer_keys(spark, d), "string").withColumn("seq", F.lit(10**12).cast("long"))
+    return resolve.view(log.unionByName(gone)).select("key", "value")
+
+
+@query(f"WITH {EV} SELECT (SELECT count(DISTINCT key) FROM ev) AS entries, (SELECT count(*) FROM {newest('ev')} WHERE op = 1) AS tombstones, CAST((SELECT sum(strlen(key) + CASE WHEN op = 0 THEN strlen(value) + 16 ELSE 8 END) FROM ev) AS BIGINT) AS bytes, (SELECT count(*) FROM ev) AS operations")
+def memtable_stats(spark, d):
+    return writes.memtable_stats(fx.events(spark, d))
+
+
+@query(f"WITH {EV} SELECT op, count(*) AS n, CAST(sum(13 + strlen(key) + CASE WHEN op = 0 THEN strlen(value) ELSE 0 END) AS BIGINT) AS bytes FROM ev GROUP BY op")
+def wal_record_bytes(spark, d):
+    log = fx.events(spark, d).withColumn("value", F.when(F.col("op") == 0, F.col("value")))
+    return writes.record_bytes(log).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("record_bytes").cast("long").alias("bytes"))
+
+
+@query(f"WITH {EV} SELECT key, op, seq FROM {newest('ev', where='seq > (SELECT count(*) // 2 FROM events)')}")
+def wal_replay(spark, d):
+    """The newest rows of the log after a flush half way."""
+    log = fx.events(spark, d)
+    half = log.agg(F.expr("count(*) div 2").alias("half"))
+    return resolve.latest_per_key(log.join(F.broadcast(half), F.col("seq") > F.col("half")).drop("half")).select("key", "op", "seq")
+
+
+# transactions
+
+
+def _buffer(spark, d):
+    """Puts for all events, in their order: the buffer of one large transaction over the orders' keys."""
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("tx_seq"), (F.col("event_type") == "error").cast("int").alias("op"), fx.padded(F.col("user_id")).alias("key"), F.col("props").alias("value"))
+
+
+TX = f"tx AS (SELECT event_id AS seq, CAST(event_type = 'error' AS INT) AS op, {PAD.format('user_id')} AS key, props AS value FROM events)"
+
+
+@query(f"WITH {ORD}, {TX}, t AS {newest('tx')} SELECT coalesce(t.key, ord.key) AS key, CASE WHEN t.key IS NULL THEN ord.value ELSE t.value END AS value FROM ord FULL JOIN t USING (key) WHERE coalesce(t.op, 0) = 0")
+def tx_overlay_commit(spark, d):
+    return resolve.live(resolve.overlay(fx.orders(spark, d), _buffer(spark, d).withColumn("tx_seq", F.col("tx_seq").cast("int")))).select("key", "value")
+
+
+@query(f"WITH {ORD} SELECT key, value FROM ord")
+def tx_rollback(spark, d):
+    """A buffer that is dropped leaves nothing behind."""
+    return resolve.live(resolve.overlay(fx.orders(spark, d), _buffer(spark, d).withColumn("tx_seq", F.col("tx_seq").cast("int")).limit(0))).select("key", "value")
+
+
+@query(f"WITH {TX} SELECT key, value FROM {newest('tx')} WHERE op = 0")
+def tx_read_own_writes(spark, d):
+    """What the transaction reads of the keys it wrote."""
+    mine = _buffer(spark, d)
+    return resolve.live(resolve.latest_per_key(mine, order=("tx_seq",))).select("key", "value")
+
+
+@query(f"WITH {EV} SELECT DISTINCT key FROM ev WHERE seq > (SELECT count(*) // 2 FROM events) AND key IN (SELECT key FROM ev WHERE seq <= 50)")
+def tx_conflict_keys(spark, d):
+    """Keys read by a transaction (those of the first 50 commits) that were written after it began half way."""
+    log = fx.events(spark, d)
+    begin = log.agg(F.expr("count(*) div 2").alias("half"))
+    read = log.where("seq <= 50").select("key").distinct()
+    since = log.join(F.broadcast(begin), F.col("seq") > F.col("half")).select("key")
+    return since.join(read, "key", "left_semi").distinct()
+
+
+# runs and blocks
+
+
+@query(f"WITH {RUNS} SELECT run, key, op, seq FROM {newest('runs', by='run, key')}")
+def flush_run(spark, d):
+    return merge.flush_run(fx.runs(spark, d), ("run",)).select("run", "key", "op", "seq")
+
+
+@query(f"WITH {RUNS}, f AS {newest('runs', by='run, key')} SELECT run, count(*) AS n_rows, CAST(sum(op) AS BIGINT) AS n_tombstones, min(key) AS min_key, max(key) AS max_key, CAST(sum(strlen(key) + strlen(value)) AS BIGINT) AS bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM f GROUP BY run")
+def run_stats(spark, d):
+    return merge.run_stats(merge.flush_run(fx.runs(spark, d), ("run",)))
+
+
+@query(f"WITH {EV} SELECT seq // 100 AS generation, count(*) AS operations, count(DISTINCT key) AS entries FROM ev GROUP BY 1")
+def generations(spark, d):
+    g = merge.generations_by_stride(fx.events(spark, d), 100)
+    newest_rows = resolve.latest_per_key(g, by=("generation", "key")).groupBy("generation").agg(F.count(F.lit(1)).alias("entries"))
+    return g.groupBy("generation").agg(F.count(F.lit(1)).alias("operations")).join(newest_rows, "generation")
+
+
+BLOCK = 512
+CUT = (
+    f"WITH RECURSIVE {RUNS}, f AS {newest('runs', by='run, key')}, "
+    "e AS (SELECT run, key, seq, 4 + strlen(key) + strlen(value) AS size, row_number() OVER (PARTITION BY run ORDER BY key) AS i FROM f), "
+    f"cut AS (SELECT run, key, size, i, CAST(0 AS BIGINT) AS block_id, size AS used FROM e WHERE i = 1 UNION ALL "
+    f"SELECT e.run, e.key, e.size, e.i, c.block_id + CAST(c.used >= {BLOCK} AS BIGINT), CASE WHEN c.used >= {BLOCK} THEN e.size ELSE c.used + e.size END FROM cut c JOIN e ON e.run = c.run AND e.i = c.i + 1) "
+)
+
+
+def _cut(spark, d):
+    return blocks.block_cut(merge.flush_run(fx.runs(spark, d), ("run",)), BLOCK, ("run",))
+
+
+@query(CUT + "SELECT run, key, block_id FROM cut")
+def block_cut(spark, d):
+    return _cut(spark, d).select("run", "key", "block_id")
+
+
+@query(CUT + "SELECT run, block_id, CAST(4 + 4 * count(*) + sum(size) AS BIGINT) AS block_bytes FROM cut GROUP BY run, block_id")
+def block_size_bytes(spark, d):
+    return blocks.encoded_block_bytes(_cut(spark, d), ("run",))
+
+
+@query(CUT + "SELECT run, block_id, min(key) AS min_key, max(key) AS max_key, count(*) AS n_entries, CAST(sum(size) AS BIGINT) AS bytes FROM cut GROUP BY run, block_id")
+def zone_map(spark, d):
+    return blocks.zone_map(_cut(spark, d), ("run",))
+
+
+@query(CUT + "SELECT run, CAST(sum(16 + strlen(a) + strlen(b)) AS BIGINT) AS index_bytes, count(*) AS n_blocks FROM (SELECT run, block_id, min(key) AS a, max(key) AS b FROM cut GROUP BY run, block_id) GROUP BY run")
+def index_bytes(spark, d):
+    return blocks.index_bytes(blocks.zone_map(_cut(spark, d), ("run",)), ("run",))
+
+
+@query(CUT + "SELECT run, block_id, key FROM cut QUALIFY row_number() OVER (PARTITION BY run, block_id ORDER BY key) = 3")
+def block_get(spark, d):
+    return blocks.nth_entry(_cut(spark, d), 2, ("run",)).select("run", "block_id", "key")
+
+
+PROBES = ("user:00000", "user:00042", "user:00042x", "user:00099", "zzz", "")
+PROBE_SQL = "p(probe) AS (VALUES " + ", ".join(f"('{p}')" for p in PROBES) + ")"
+
+
+def _probes(spark):
+    return spark.createDataFrame([(p,) for p in PROBES], "probe string")
+
+
+@query(CUT + ", " + PROBE_SQL + " SELECT run, block_id, probe, count(*) FILTER (WHERE key < probe) AS place FROM cut, p GROUP BY run, block_id, probe")
+def lower_bound(spark, d):
+    return blocks.lower_bound(_cut(spark, d), _probes(spark), ("run",))
+
+
+@query(CUT + ", " + PROBE_SQL + ", z AS (SELECT run, block_id, min(key) AS a FROM cut GROUP BY run, block_id) SELECT run, probe, max(block_id) AS block_id FROM z, p WHERE a <= probe GROUP BY run, probe")
+def floor_block(spark, d):
+    return blocks.floor_blocks(blocks.zone_map(_cut(spark, d), ("run",)), _probes(spark), ("run",))
+
+
+@query(CUT + "SELECT run, block_id FROM cut GROUP BY run, block_id HAVING min(key) <= 'user:00042' AND max(key) >= 'user:00042'")
+def block_prune(spark, d):
+    return blocks.pruned(blocks.zone_map(_cut(spark, d), ("run",)), "user:00042").select("run", "block_id")
+
+
+# Bloom filters
+
+
+FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, strlen(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+TWO = "(CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) | 1)"
+M, K = bloom.parameters(150)
+BITS = f"h AS (SELECT DISTINCT key, {FNV} AS h1, {TWO} AS h2 FROM ev), bits AS (SELECT DISTINCT key, (h1 + i * h2) % 4294967296 % {M} AS bit FROM (SELECT *, unnest(range({K})) AS i FROM h))"
+
+
+@query(f"WITH {EV} SELECT key, {FNV} AS h FROM (SELECT DISTINCT key FROM ev)")
+def fnv1a_hash(spark, d):
+    return fx.events(spark, d).select("key").distinct().select("key", fnv1a(F.col("key")).alias("h"))
+
+
+@query("SELECT n, greatest(n, 1) * 10 AS m, least(30, greatest(1, greatest(n, 1) * 10 * 69 // 100 // greatest(n, 1))) AS k FROM (VALUES (0), (1), (3), (101), (1000), (10000)) t(n)")
+def bloom_parameters(spark, d):
+    return spark.createDataFrame([(n, *bloom.parameters(n)) for n in (0, 1, 3, 101, 1000, 10000)], "n int, m int, k int")
+
+
+@query(f"WITH {EV}, {BITS} SELECT DISTINCT bit FROM bits")
+def bloom_bits(spark, d):
+    return bloom.build(fx.events(spark, d).select("key").distinct(), M, K)
+
+
+@query(f"WITH {EV}, q AS (SELECT DISTINCT key || '?' AS key FROM ev UNION SELECT key FROM ev), {BITS}, s AS (SELECT DISTINCT bit FROM bits), " + f"w AS (SELECT DISTINCT key, (h1 + i * h2) % 4294967296 % {M} AS bit FROM (SELECT key, {FNV} AS h1, {TWO} AS h2, unnest(range({K})) AS i FROM q)) SELECT key, bool_and(s.bit IS NOT NULL) AS maybe FROM w LEFT JOIN s USING (bit) GROUP BY key")
+def bloom_probe(spark, d):
+    """All keys that were added, and as many that were not."""
+    keys = fx.events(spark, d).select("key").distinct()
+    return bloom.probe(bloom.build(keys, M, K), keys.unionByName(keys.select(F.concat("key", F.lit("?")).alias("key"))), M, K)
+
+
+@query("SELECT 0::BIGINT AS missed")
+def bloom_fn_zero(spark, d):
+    """How many keys of a filter's own it misses."""
+    keys = fx.events(spark, d).select("key").distinct()
+    return bloom.probe(bloom.build(keys, M, K), keys, M, K).agg(F.count_if(~F.col("maybe")).alias("missed"))
+
+
+# merge and compaction
+
+
+@query(f"WITH {RUNS} SELECT key, run, op, seq FROM {newest('runs', by='run, key')}")
+def merge_sorted(spark, d):
+    flushed = merge.flush_run(fx.runs(spark, d), ("run",))
+    return merge.merge_sorted([flushed.where("run % 2 = 0"), flushed.where("run % 2 = 1")]).select("key", "run", "op", "seq")
+
+
+@query(f"WITH {EV} SELECT key, op, seq FROM {newest('ev')}")
+def merge_resolved(spark, d):
+    flushed = merge.flush_run(fx.runs(spark, d), ("run",))
+    return merge.merge_resolved([flushed.where("run % 2 = 0"), flushed.where("run % 2 = 1")]).select("key", "op", "seq")
+
+
+LEVELS = "l AS (SELECT CASE WHEN run < 6 THEN 0 WHEN run < 9 THEN 1 ELSE 3 END AS level, strlen(key) + strlen(value) AS bytes, run FROM runs), g AS (SELECT level, count(DISTINCT run) AS n_runs, CAST(sum(bytes) AS BIGINT) AS bytes FROM l GROUP BY level), s AS (SELECT CAST(i AS INT) AS level, coalesce(n_runs, 0) AS n_runs, coalesce(bytes, 0) AS bytes FROM range(7) r(i) LEFT JOIN g ON g.level = i)"
+
+
+def _manifest(spark, d):
+    """A row for each of the ten runs: six at level 0, three at 1, one at 3."""
+    size = F.octet_length("key") + F.octet_length("value")
+    level = F.expr("CASE WHEN run < 6 THEN 0 WHEN run < 9 THEN 1 ELSE 3 END")
+    return fx.runs(spark, d).groupBy("run").agg(F.sum(size).alias("bytes")).withColumn("level", level)
+
+
+@query(f"WITH {RUNS}, {LEVELS} SELECT level, n_runs, bytes FROM s")
+def level_sizes(spark, d):
+    return merge.levels(spark, _manifest(spark, d), Config().max_levels)
+
+
+@query(f"WITH {RUNS}, {LEVELS}, t AS (SELECT *, lead(bytes) OVER (ORDER BY level) AS nxt FROM s) SELECT min(level) FILTER (WHERE (level = 0 AND n_runs > 4) OR (bytes > 0 AND nxt > 0 AND bytes * 10 > nxt)) AS level FROM t")
+def needs_compaction(spark, d):
+    return merge.needs_compaction(merge.levels(spark, _manifest(spark, d), Config().max_levels))
+
+
+@query(f"WITH {EV} SELECT CAST(sum(strlen(key) + strlen(value)) AS BIGINT) AS bytes FROM ev")
+def total_size(spark, d):
+    return merge.total_size(_manifest(spark, d))
+
+
+@query(f"WITH {EV} SELECT key, op, seq, value FROM {newest('ev')}")
+def compact_l0(spark, d):
+    """All runs into one, deletions kept."""
+    return merge.compacted(merge.flush_run(fx.runs(spark, d), ("run",)).drop("run"), False)
+
+
+@query(f"WITH {EV} SELECT key, op, seq, value FROM {newest('ev')} WHERE op = 0")
+def compact_gc(spark, d):
+    """All runs into the last level, deletions dropped."""
+    return merge.compacted(merge.flush_run(fx.runs(spark, d), ("run",)).drop("run"), True)
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev')} WHERE op = 0")
+def recovery_view(spark, d):
+    """Runs of all but the newest part, and the log after them: the same state as from the whole log."""
+    rows = fx.runs(spark, d)
+    flushed = merge.flush_run(rows.where("run < 8"), ("run",))
+    return resolve.view(flushed.unionByName(rows.where("run >= 8")).drop("run"))
+
+
+@query("SELECT 3::BIGINT AS min_version, true AS needs_5, false AS needs_9, 2::BIGINT AS left_after_release")
+def snapshot_registry(spark, d):
+    have = spark.createDataFrame([(3,), (5,), (5,), (8,)], "version bigint").withColumn("ts", F.current_timestamp())
+    low, five, nine = snapshots.min_version(have), snapshots.is_needed(have, 5), snapshots.is_needed(have, 9)
+    left = snapshots.released(have, 5).agg(F.count(F.lit(1)).alias("left_after_release"))
+    return low.select(F.col("version").alias("min_version")).join(five.withColumnRenamed("needed", "needs_5")).join(nine.withColumnRenamed("needed", "needs_9")).join(left)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
