@@ -94,7 +94,7 @@ def place(m: Mixture, epoch: Column) -> Column:
 def selected(df: DataFrame, m: Mixture = Mixture(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """id_col, domain, lang, source, epoch and n_tokens, a row for each time that a document is taken; and th, its text's hash."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col))
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), lang.alias("lang"), source.alias("source"), domain(m, source).alias("domain"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+    docs = df.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), lang.alias("lang"), source.alias("source"), domain(m, source).alias("domain"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
     docs = written(docs, "mix-docs")
     leaf = ["domain", "lang", "source"]
     plan = written(budgets(docs.groupBy(*leaf).agg(F.sum("n").alias("tokens")), m).withColumn("whole", F.expr("share div tokens")).withColumn("rest", F.expr("share % tokens")), "mix-plan")
@@ -117,7 +117,7 @@ def selected(df: DataFrame, m: Mixture = Mixture(), id_col: str = "doc_id", text
 def mixed(df: DataFrame, m: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that selected() takes, each as many times as it takes them."""
     take = selected(df, m, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.max("epoch").alias("_e"), F.count_distinct("epoch").cast("int").alias("_k"))
-    th = F.coalesce(F.xxhash64(text_col), F.lit(0))
+    th = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = df.join(take, F.col(id_col).eqNullSafe(F.col("_id")) & (th == F.col("_th")))
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -148,7 +148,7 @@ two AS ({fill("SELECT domain, lang, any_value(w2) AS w, sum(cap) AS cap, any_val
 three AS ({fill("SELECT domain, lang, source, tokens, w3 AS w, cap, share AS budget FROM y JOIN two USING (domain, lang)", 'domain, lang', 'source', 'domain, lang, source, tokens')}),
 plan AS (SELECT domain, lang, source, share // tokens AS whole, share % tokens AS rest FROM three),
 taken AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('{m.seed}:', CAST(whole AS BIGINT), ':', coalesce(CAST(doc_id AS VARCHAR), ''))), doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('{m.seed}:', CAST(whole AS BIGINT), ':', coalesce(CAST(doc_id AS VARCHAR), ''))), doc_id, md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM docs JOIN plan USING (domain, lang, source)
 )
 SELECT doc_id, domain, lang, source, CAST(e AS BIGINT) AS epoch, CAST(n AS BIGINT) AS n_tokens
