@@ -1,15 +1,11 @@
-"""The DataFrame-only operators and the pipeline: SQL over the same rows, and edge cases."""
-
-import math
-import os
+"""The DataFrame-only operators: SQL over the same rows, and edge cases."""
 
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from keytide.llm import licenses, mixing, queries, rollup  # noqa: E402
+from keytide.llm import licenses, mixing, rollup  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
 ROWS = [
     (1, "Under the MIT License. under the mit license", "en", "src0"), (2, None, "en", "src0"), (3, "", None, None), (4, "apache license, VERSION 2 cc by-nc", "de", "src7"),
@@ -84,19 +80,3 @@ def test_rollup(spark, tmp_path):
     assert total() == {("s", None, 1, 9), (None, "en", 1, 0)}
     again = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
     assert not again.commit("revise", load) and len(again.batches()) == 4
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-def test_pipeline_stages(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = queries.table(spark, SF, "documents")
-    ids = [docs.columns]
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
-        if i < 4:
-            assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
-            assert out.count() <= docs.count()
-        docs = queries.written(out, "test-stage")
-        ids.append(docs.count())
-    assert ids[-1] == ids[-2] > 0 and "ids_sha256" in docs.columns
-    assert math.isclose(ids[-1], corpus_pipeline.run(spark, SF).count())
