@@ -1,20 +1,18 @@
 """Exact n-gram Jaccard self-join, size-aware, that yields components instead of all pairs.
 
-Texts become sets of k-word shingles; equal sets form a class, represented by its smallest id. Two sets of sizes m and
-n with similarity num/den or more share at least ceil(num * n / den) shingles, so both have one of their
-p = n - ceil(num * n / den) + 1 rarest shingles in common, and two of their p + 1 rarest. Rarity is any order that is
-the same for all sets; it is estimated from a word-count sketch of fixed size, ties by hash.
-
-* Large sets scan inverted lists over those p shingles.
-* Small sets enumerate the fixed-size (two-element) subsets of their p + 1 rarest instead: more keys, but two small
-  sets then meet only if they share two rare shingles.
-* The boundary between small and large is chosen by cost: the keys to write against the lengths of the lists that sets
-  of each size would scan, both counted over all sets.
-
-Sets under one key need not be paired all with all: every key's smallest set (its hub) is verified against the
-others, links merge components, and pairs inside one component need no verification. Pairs between components stay:
-hubs are taken in further rounds while many are left, then the rest is paired. Distances to the first hub rule out
-pairs by the triangle inequality (1 - similarity is a metric). All verification is exact, on whole sets.
+Texts become sets of k-word shingles; equal sets form a class, represented by its smallest id. Two sets with
+similarity num / den or more share at least ceil(num * n / den) shingles (n: the size of either), so the first
+p = n - ceil(num * n / den) + s of both in any common order share at least s. The order is by rarity, estimated from a
+word-count sketch of fixed size, ties by hash; s is SHARED.
+
+* Large sets scan the inverted lists of those shingles and keep sets met in at least s lists.
+* Small sets enumerate the fixed-size (two-element) subsets of their shared rare shingles instead: two small sets are
+  candidates if they meet under a subset.
+* The boundary between small and large is chosen by cost, counted over all sets: steps of scanning against subsets.
+
+Lists and subset keys of fewer than ``HOT`` sets yield their pairs. Longer ones, however long, do not: their sets are
+verified against one hub and bounded through it (see hub_links). Verification is exact, on whole sets, and sends each
+set once to each bounded cell of pairs.
 
 Defined results: null text, and text without words, have an empty set and no links; a text of fewer than k words has
 one shingle, its whole sequence; a null id has no component (null) and links nothing; rows that share an id count as
@@ -27,19 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import dropped, written
+from .routing import chosen
+from .scratch import dropped, released, written
 from .words import LOWER, Texts, gram_hashes, i64, mix, slices, within, word_hashes, words
 
 #: Cells of the word-count sketch.
 CELLS = 1 << 17
-#: Cost of verifying a candidate against writing a key.
-CANDIDATE_COST = 8.0
-#: Pairs left between components, for each row of the key table, from which another round of hubs pays.
-PAIRS_LEFT = 4.0
+#: Keys that a pair must share; sets under a key from which a hub takes the place of pairs.
+SHARED, HOT = 4, 128
+#: Size classes of the cost model; the last one is never small.
+LARGEST_CLASS = 256
+#: Shingles in a cell of pairs that one task verifies.
+CELL_TOKENS = 1 << 18
 SIDES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -97,7 +98,7 @@ def censused(texts: DataFrame, k: int) -> DataFrame:
     return written(texts.select("id", "text").mapInArrow(run, "kind int, id long, n long, a long, b long"), "sets")
 
 
-def prefixed(texts: DataFrame, k: int, num: int, den: int, weight: np.ndarray) -> DataFrame:
+def prefixed(texts: DataFrame, k: int, num: int, den: int, weight: np.ndarray, shared: int) -> DataFrame:
     """(key, a): the p rarest shingles of every set that can have a partner, with the set's signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def prefixed(texts: DataFrame, k: int, num: int, den: int, weight: np.ndarray) -
                 n = np.diff(at)
                 need = least_overlap(n, num, den)
                 # different sets are similar at the least with one shingle more in one: n of n + 1
-                p = np.where((n > 0) & (den * n >= num * (n + 1)), n - need + 1, 0)
+                p = np.where((n > 0) & (den * n >= num * (n + 1)), np.minimum(n - need + shared, n), 0)
                 rows = np.repeat(np.arange(t.rows), p)
                 pick = np.arange(rows.size) - np.repeat(np.cumsum(p) - p, p) + at[:-1][rows]
                 yield pa.RecordBatch.from_arrays([pa.array(i64(value[pick])), pa.array(i64(signature(value, at, SIDES[0])[rows]))], names=["key", "a"])
@@ -115,48 +116,62 @@ def prefixed(texts: DataFrame, k: int, num: int, den: int, weight: np.ndarray) -
     return written(texts.select("text").mapInArrow(run, "key long, a long"), "prefixes")
 
 
-def collected(texts: DataFrame, members: DataFrame, k: int, weight: np.ndarray) -> DataFrame:
-    """(id, n, shingles) of the sets with these ids: all shingles, rarest first, as bytes."""
+def collected(texts: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the sets with these ids: all shingles in ascending order, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in slices(batch.column(1)):
-                value, at, _ = shingles(t, k, weight)
+                value, at, _ = shingles(t, k)  # without weights all score alike, so a text's shingles ascend
                 raw = pa.Array.from_buffers(pa.binary(), t.rows, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(value.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows), pa.array(np.diff(at)), raw], names=["id", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows), raw], names=["id", "shingles"])
+
+    rows = chosen(texts.select("id", "text"), members, ["id"]).join(members, "id", "left_semi")
+    return written(rows.mapInArrow(run, "id long, shingles binary").where("length(shingles) > 0"), "members")
 
-    return written(texts.join(members, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, n long, shingles binary").where("n > 0"), "members")
 
+def band(n: str, num: int, den: int):
+    """Sizes by factors of den / num and a little: similar sets are in one band or in neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(np.log(1.01 * den / num))).cast("int")
 
-def subset_keys(sets: DataFrame, num: int, den: int, boundary: int) -> DataFrame:
-    """(key, id, n): the two-element subsets of the p + 1 rarest shingles of sets below the boundary."""
+
+def banded(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, band, id, n): every set in its own band and, as a guest, in the next, so that lists hold similar sizes only."""
+    own = band("n", num, den)
+    rows = lists.select("key", "id", "n", F.explode(F.array(own, own + 1)).alias("band"))
+    return rows.select(F.xxhash64("key", "band").alias("key"), "band", "id", "n")
+
+
+def subset_keys(small: DataFrame) -> DataFrame:
+    """(key, band, id, n): the two-element subsets of the shared rare shingles of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, (n, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-                v = np.sort(np.frombuffer(raw.as_buffer(), np.uint64)[: n - least_overlap(n, num, den) + 2])
+            for i, own in enumerate(batch.column(3)):
+                v = np.sort(own.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 x, y = np.triu_indices(v.size, 1)
                 keys.append(mix(v[x] * np.uint64(SIDES[0]) + mix(v[y])))
                 rows.append(np.full(x.size, i))
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(i64(np.concatenate(keys))), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(i64(np.concatenate(keys))), *(batch.column(c).take(at) for c in range(3))], names=["key", "band", "id", "n"])
 
-    return sets.where(F.col("n") < boundary).select("id", "n", "shingles").mapInArrow(run, "key long, id long, n long")
+    return small.groupBy("band", "id", "n").agg(F.collect_list("key").alias("keys")).mapInArrow(run, "key long, band int, id long, n long")
 
 
 def boundary_by_cost(lists: DataFrame, num: int, den: int) -> int:
-    """The size below which sets enumerate subsets. ``lists``: (key, id, n, f) with f sets under each key.
+    """The size below which sets enumerate subsets. ``lists``: (key, band, id, n, f) with f sets under each key.
 
-    Costs are summed over all sets by prefix length; only lengths up to 64 can gain (more have over 2000 subsets).
+    Costs are summed over all sets by size class (number of shingles that a similar set may miss): scanning costs a
+    step for each other set in each list, enumerating a key for each pair of a set's shared shingles.
     """
-    p = (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).cast("long")
-    cost = lists.select(p.alias("p"), "n", "f").where("p <= 64").groupBy("p").agg(F.sum(F.col("f") - 1).alias("scanned"), F.count(F.lit(1)).alias("keys"), F.max("n").alias("n")).orderBy("p").collect()
+    p = F.floor(F.col("n") * (den - num) / F.lit(den)).cast("long")
+    each = lists.groupBy("id", "band", "n").agg(F.sum(F.col("f") - 1).alias("scan"), F.count(F.lit(1)).alias("c"))
+    cost = each.groupBy(F.least(p, F.lit(LARGEST_CLASS)).alias("p")).agg(F.sum("scan").alias("scan"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("keys"), F.max("n").alias("n")).orderBy("p").collect()
     best, boundary, gain = 0.0, 0, 0.0
     for r in cost:
-        sets = r["keys"] / r["p"]
-        gain += r["keys"] + CANDIDATE_COST * r["scanned"] - sets * r["p"] * (r["p"] + 1) / 2
-        if gain > best:
+        gain += r["scan"] - r["keys"]
+        if gain > best and r["p"] < LARGEST_CLASS:
             best, boundary = gain, r["n"] + 1
     return boundary
 
@@ -165,68 +180,123 @@ def similar_sizes(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with distance (1 - similarity) and link, exactly."""
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, residual: bool = False) -> DataFrame:
+    """pairs (a, b, n_b, home) with shared (shingles in common) and link, exactly; with ``residual`` also b's first shingles
+    outside a, by hash, as many as similar sets may lack and one more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far, link = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                union = x.size + y.size - shared
-                far[i], link[i] = 1.0 - shared / union, den * shared >= num * union
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far), pa.array(link)], names=["a", "b", "distance", "link"])
-
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return written(rows.mapInArrow(run, "a long, b long, distance double, link boolean"), "verified")
-
-
-def linked(keys: DataFrame, sets: DataFrame, num: int, den: int, heavy: int) -> tuple[DataFrame, DataFrame]:
-    """All links needed for exact components of the sets that meet under ``keys`` (key, id, n), and the components.
-
-    Sets of fewer than ``heavy`` shingles meet each other under subset keys (``pairwise`` true), others under any.
+    Pairs are laid out in cells of bounded size: those of one ``home`` (a set that many of them are near to) form a
+    grid by a and b, small homes share cells; each set is sent once to each cell that has a pair of it.
+    """
+    size = pairs.groupBy("home").agg(F.sum("n_b").alias("w"), F.approx_count_distinct("a").alias("da"), F.approx_count_distinct("b").alias("db"))
+    m = F.ceil(F.col("w") / CELL_TOKENS)
+    size = size.withColumn("ma", F.ceil(F.sqrt(m * F.col("da") / F.col("db")))).withColumn("mb", F.ceil(m / F.col("ma")))
+    size = written(size.select("home", "w", F.col("ma").cast("int").alias("ma"), F.col("mb").cast("int").alias("mb")), "homes")
+    few = size.where("ma * mb = 1").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    many = max(1, -(-int(few) // CELL_TOKENS), int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if few > CELL_TOKENS // 8 else 1)
+    alone = F.col("ma") * F.col("mb") > 1
+    laid = pairs.join(size, "home").select(
+        "a", "b", F.when(alone, F.col("home")).otherwise(F.pmod(F.xxhash64("home"), F.lit(many))).alias("c"), alone.alias("big"),
+        F.pmod(F.xxhash64("a"), F.col("ma")).cast("int").alias("i"), F.pmod(F.xxhash64("b"), F.col("mb")).cast("int").alias("j"),
+    )
+    laid = written(laid, "cells")
+    cell = ["c", "big", "i", "j"]
+    sent = laid.select(*cell, F.col("a").alias("id")).unionByName(laid.select(*cell, F.col("b").alias("id"))).distinct().join(sets, "id")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        have: dict[int, list[np.ndarray]] = {}
+        for i, raw in zip(right.column("id").to_pylist(), right.column("shingles").combine_chunks() if right.num_rows else []):
+            have.setdefault(i, []).append(np.frombuffer(raw.as_buffer(), np.uint64))
+        a, b, shared, link, rest = [], [], [], [], []
+        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            for u in have.get(x, ()):  # more than one only where rows share an id
+                for v in have.get(y, ()):
+                    both = np.concatenate([u, v])
+                    both.sort(kind="stable")
+                    n = int((both[1:] == both[:-1]).sum())
+                    a.append(x)
+                    b.append(y)
+                    shared.append(n)
+                    link.append(den * n >= num * (u.size + v.size - n))
+                    if residual:
+                        rest.append(i64(v[~np.isin(v, u, assume_unique=True)][: v.size - least_overlap(v.size, num, den) + 1]))
+        cols = {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "shared": pa.array(shared, pa.int64()), "link": pa.array(link, pa.bool_())}
+        if residual:
+            cols["rest"] = pa.array(rest, pa.list_(pa.int64()))
+        return pa.table(cols)
+
+    sent = sent.select(*[F.col(c).alias(f"{c}_") for c in cell], "id", "shingles")
+    out = laid.groupBy(*cell).cogroup(sent.groupBy(*[f"{c}_" for c in cell])).applyInArrow(run, "a long, b long, shared long, link boolean" + ", rest array<long>" * residual)
+    return written(out, "verified")
+
+
+def light_pairs(keys: DataFrame, num: int, den: int, shared: int, boundary: int) -> DataFrame:
+    """(a, b, n_b, home) of sets that meet under at least ``shared`` keys, of similar sizes, one of them of size ``boundary`` or more."""
+    x, y = (keys.select("key", "band", F.col("id").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
+    once = F.greatest(band("n_a", num, den), band("n_b", num, den)) == F.col("band")  # two guests meet in their own band
+    met = x.join(y.drop("band"), "key").where((F.col("a") < F.col("b")) & once & similar_sizes("n_a", "n_b", num, den) & (F.greatest("n_a", "n_b") >= boundary))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("n_b").alias("n_b")).where(F.col("k") >= shared).select("a", "b", "n_b")
+
+
+def at_home(pairs: DataFrame) -> DataFrame:
+    """pairs with home: the smallest set that b is paired with."""
+    return pairs.join(pairs.groupBy("b").agg(F.min("a").alias("home")), "b")
+
+
+def hub_links(hot: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of sets under keys that many sets share, added to the links that are known (a, b).
+
+    Each key's smallest set is the hub of its sets; the group of a hub is everything under its keys. Every member is
+    verified against the hub, which yields o, what it shares with it. What two members share lies in the hub, min(o, o)
+    at most, or in what both have besides. Let c be the fewest shingles that a set shares with a similar one.
+
+    * A member with o < c is similar to another one only if both have at least one of their first shingles outside the
+      hub in common (as many as a set may lack, and one more). Those become new keys of the group.
+    * Two members with o >= c need not share any, but their overlap is at most the smaller o + r, r counting shingles
+      outside the hub that another member has; pairs that fall short are ruled out.
+
+    Pairs inside one component of the links so far need no verification. New keys of HOT sets or more get hubs in turn.
     """
-    spark = keys.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    allowed = lambda a, b: F.col("subsets") | (F.greatest(a, b) >= heavy)
-    label, first, active, rounds = None, None, keys.withColumn("component", F.col("id")), 0
-    while True:
-        hubs = active.groupBy("key").agg(F.min(F.struct("id", "n", "component")).alias("hub"))
-        met = active.join(hubs, "key").where((F.col("id") != F.col("hub.id")) & (F.col("component") != F.col("hub.component")) & similar_sizes("n", "hub.n", num, den) & allowed("n", "hub.n"))
-        found = verified(met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), sets, num, den)
-        links = written(links.unionByName(found.where("link").select("a", "b")), "all-links")
-        label = written(components(links), "labels")
-        rest = active.join(hubs.select("key", F.col("hub.id").alias("hub")), "key").where("id <> hub")
-        if first is None:  # distances to each key's first hub
-            rest = rest.join(found.select(F.col("a").alias("hub"), F.col("b").alias("id"), "distance"), ["hub", "id"], "left")
-        rest = rest.drop("hub", "component").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        first = True
-        # keys whose sets are all in one component are settled
-        open_ = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rest = written(rest.join(open_, "key"), "open-keys")
-        by_part = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        left = by_part.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        active, rounds = rest, rounds + 1
-        if not left["rows"]:
-            return links, label
-        if left["pairs"] <= PAIRS_LEFT * left["rows"]:
-            break
-    near = 1.0 - num / den + 1e-9
-    x, y = (active.select("key", "subsets", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}"), F.col("distance").alias(f"d_{s}")) for s in "ab")
-    apart = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")), F.lit(0.0))
-    rest = x.join(y.drop("subsets"), "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_sizes("n_a", "n_b", num, den) & allowed("n_a", "n_b") & (apart <= near))
-    found = verified(rest.select("a", "b").distinct(), sets, num, den)
-    links = written(links.unionByName(found.where("link").select("a", "b")), "all-links")
-    return links, components(links)
+    key_of = F.xxhash64("hub", "t").alias("key")
+    while not hot.isEmpty():
+        hubs = hot.groupBy("key").agg(F.min("id").alias("hub"))
+        group = written(hot.join(hubs, "key").where("id <> hub").select("hub", "id", "n").distinct(), "hub-groups")
+        pairs = group.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("hub").alias("home"))
+        near = verified(pairs, sets, num, den, residual=True)
+        released(hot.sparkSession)
+        links = written(links.unionByName(near.where("link").select("a", "b")), "links-so-far")
+        label = written(components(links), "labels").withColumnRenamed("node", "id")
+
+        outside = near.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.explode("rest").alias("t")).select("hub", "id", key_of)
+        length = outside.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        shared = written(outside.join(length, "key"), "outside-keys")
+        r = shared.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("r"))
+        o = near.groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(F.max("shared").alias("o"))
+        member = group.join(o, ["hub", "id"]).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        close = member.where(F.col("o") * den >= F.col("n") * num).join(r, ["hub", "id"], "left").withColumn("cap", F.col("o") + F.coalesce("r", F.lit(0)))
+        main = label.select(F.col("id").alias("hub"), F.col("component").alias("main"))
+        close = close.join(main, "hub", "left").withColumn("inside", F.col("component") == F.coalesce("main", "hub"))
+        close = written(close.select("hub", "id", "n", "component", "cap", "inside"), "hub-members")
+
+        x, y = (close.select("hub", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "cap", "inside")]) for s in "ab")
+        enough = F.least("cap_a", "cap_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+        apart = (F.col("component_a") != F.col("component_b")) & similar_sizes("n_a", "n_b", num, den)
+        first = x.where("NOT inside_a").join(y, "hub").where((F.col("inside_b") | (F.col("id_a") < F.col("id_b"))) & apart & enough)
+        few = shared.where(F.col("f") < HOT).join(member.select("hub", "id", "n", "component"), ["hub", "id"])
+        x, y = (few.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "ab")
+        second = x.join(y, "key").where((F.col("id_a") < F.col("id_b")) & apart)
+        both = first.select("id_a", "id_b", "n_a", "n_b").unionByName(second.select("id_a", "id_b", "n_a", "n_b"))
+        turned = F.col("id_a") > F.col("id_b")
+        rest = both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
+        rest = written(rest.groupBy("a", "b").agg(F.max("n_b").alias("n_b")), "hub-rest")
+        found = verified(written(at_home(rest), "hub-rest"), sets, num, den)
+        links = written(links.unionByName(found.where("link").select("a", "b")), "links-so-far")
+        hot = written(shared.where(F.col("f") >= HOT).join(group, ["hub", "id"]).select("key", "id", "n"), "hot")
+        released(hot.sparkSession)
+    return links
 
 
 def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """id, n_shingles and component_id of every row; texts link at similarity num / den or more."""
-    spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     census = censused(texts, k)
     rows = census.where("kind = 0").drop("kind")
@@ -235,23 +305,46 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     count[cells["a"].to_numpy(int)] = cells["n"].to_numpy(float)
     weight = np.rint(8 * np.log2(1 + count)).astype(np.int16)
 
+    least = -(-num // (den - num))  # the smallest set that a different one can be similar to
+    shared = min(SHARED, int(least_overlap(least, num, den)))
     classes = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("a", "b", "n").agg(F.min("id").alias("id")), "classes")
-    lists = prefixed(texts.where("id IS NOT NULL AND text IS NOT NULL"), k, num, den, weight)
+    lists = prefixed(texts.where("id IS NOT NULL AND text IS NOT NULL"), k, num, den, weight, shared)
     again = lists.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key")
-    met = written(lists.join(again, "key").distinct().join(classes.select("a", "id", "n"), "a").select("key", "id", "n"), "lists")
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
-    boundary = boundary_by_cost(met.join(sizes, "key"), num, den)
-    sets = collected(texts, met.select("id").distinct(), k, weight)
-
+    met = lists.join(again, "key").distinct().join(classes.select("a", "id", "n"), "a").select("key", "id", "n")
+    met = written(banded(met, num, den), "lists")
+    dropped(lists)
+    released(df.sparkSession)
+    for _ in range(2):  # sets under fewer than ``shared`` keys with company cannot share that many
+        busy = met.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("key")
+        rich = met.join(busy, "key").groupBy("id", "band").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared).select("id", "band")
+        had, met = met, written(met.join(busy, "key").join(rich, ["id", "band"]).select("key", "band", "id", "n"), "lists")
+        dropped(had)
+        released(df.sparkSession)
+
+    lengths = lambda t: t.join(t.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "key")
+    had, met = met, written(lengths(met), "lists")
+    dropped(had)
+    boundary = boundary_by_cost(met, num, den)
     # lists serve pairs with a large set: all large sets, and small ones of a size that a large one can match
-    wide = met.where(F.col("n") * den >= boundary * num).withColumn("subsets", F.lit(False))
-    with_large = wide.groupBy("key").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("f")).where((F.col("most") >= boundary) & (F.col("f") > 1)).select("key")
-    keys = wide.join(with_large, "key")
-    if boundary:
-        small = written(subset_keys(sets, num, den, boundary), "subsets")
-        twice = small.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-        keys = keys.unionByName(small.join(twice, "key").withColumn("subsets", F.lit(True)))
-    links, label = linked(written(keys, "keys"), sets, num, den, boundary)
+    wide = met.drop("f").where(F.col("n") * den >= boundary * num)
+    wide = written(lengths(wide.join(wide.groupBy("key").agg(F.max("n").alias("most")).where(F.col("most") >= boundary).select("key"), "key")), "wide")
+    small = written(lengths(subset_keys(met.where(F.col("n") < boundary))), "subsets")
+    light = light_pairs(wide.where(F.col("f") < HOT), num, den, shared, boundary).unionByName(light_pairs(small.where(F.col("f") < HOT), num, den, 1, 0))
+    light = written(at_home(written(light.groupBy("a", "b").agg(F.max("n_b").alias("n_b")), "light")), "light")
+    hot = written(wide.unionByName(small.select(*wide.columns)).where(F.col("f") >= HOT).select("key", "id", "n"), "hot")
+
+    for table in (met, wide, small):
+        dropped(table)
+    released(df.sparkSession)
+
+    ids = light.select(F.col("a").alias("id")).unionByName(light.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
+    sets = collected(texts, written(ids, "ids"), k)
+    released(df.sparkSession)
+    links = written(verified(light, sets, num, den).where("link").select("a", "b"), "light-links")
+    released(df.sparkSession)
+    label = written(components(hub_links(hot, sets, links, num, den)), "labels")
+    dropped(sets)
+    released(df.sparkSession)
 
     named = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("a", "b", F.col("n").alias("_n"), F.coalesce("component", "id").alias("component"))
     out = rows.join(named, (rows["a"] == named["a"]) & (rows["b"] == named["b"]) & (rows["n"] == named["_n"]), "left")

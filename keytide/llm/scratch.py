@@ -6,6 +6,7 @@ nothing. Where the session does not set that folder (tests), a temporary one is
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def dropped(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; it does so when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
