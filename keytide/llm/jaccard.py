@@ -36,7 +36,7 @@ from .words import LOWER, Texts, gram_hashes, i64, mix, slices, within, word_has
 #: Cells of the word-count sketch.
 CELLS = 1 << 17
 #: Keys that a pair must share; sets under a key from which a hub takes the place of pairs.
-SHARED, HOT = 4, 128
+SHARED, HOT = 6, 128
 #: Size classes of the cost model; the last one is never small.
 LARGEST_CLASS = 256
 #: Shingles in a cell of pairs that one task verifies.
@@ -309,8 +309,9 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     shared = min(SHARED, int(least_overlap(least, num, den)))
     classes = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("a", "b", "n").agg(F.min("id").alias("id")), "classes")
     lists = prefixed(texts.where("id IS NOT NULL AND text IS NOT NULL"), k, num, den, weight, shared)
-    again = lists.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key")
-    met = lists.join(again, "key").distinct().join(classes.select("a", "id", "n"), "a").select("key", "id", "n")
+    again = written(lists.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key"), "keys")
+    released(df.sparkSession)
+    met = chosen(lists, again, ["key"]).join(again, "key").distinct().join(classes.select("a", "id", "n"), "a").select("key", "id", "n")
     met = written(banded(met, num, den), "lists")
     dropped(lists)
     released(df.sparkSession)
