@@ -25,7 +25,7 @@ from .words import slices
 #: The pattern of the byte-level pre-tokenizer and its special token's text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the pre-tokenizer knows it (Unicode White_Space); stated, since libraries differ on 0x1C-0x1F.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that a worker remembers.
 CACHE_PIECES = 150_000
 #: Bytes of text handled at a time.

@@ -43,7 +43,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def lowered(text: Column) -> Column:
     """A-Z in lower case. lower() does it fast; of all other letters it only turns U+0130 and U+212A into ASCII ones."""
-    return F.when(F.contains(text, F.lit("İ")) | F.contains(text, F.lit("K")), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.when(F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a")), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def word_array(text: Column) -> Column:

@@ -10,8 +10,8 @@ MIT = "Permission is hereby granted, free of charge, to any person obtaining a c
 ROWS = [
     (1, "Under the MIT License. under the mit license", "en", "src0"), (2, None, "en", "src0"), (3, "", None, None), (4, "apache license, VERSION 2 cc by-nc", "de", "src7"),
     (5, MIT.replace("person", "body"), "en", "src13"), (6, MIT[:60], "en", "src13"), (7, "x " * 200 + MIT + " y" * 200, "fr", "src99"), (7, "x " * 200 + MIT + " y" * 200, "fr", "src99"),
-    (7, "released under the terms", "fr", "src99"), (8, "under theé mit license", "es", "src1"), (9, "\n".join(["line"] * 50 + ["Released under the MIT license."]), "en", "src2"), (None, "cc by nc", "en", "src3"),
-    (10, "İcense K under the mit license", "en", "src4"),
+    (7, "released under the terms", "fr", "src99"), (8, "under the\u00e9 mit license", "es", "src1"), (9, "\n".join(["line"] * 50 + ["Released under the MIT license."]), "en", "src2"), (None, "cc by nc", "en", "src3"),
+    (10, "\u0130cense \u212a under the mit license", "en", "src4"),
 ]
 
 
