@@ -28,14 +28,14 @@ def greedy_cut(sizes: np.ndarray, new: np.ndarray, limit: int, start: int, used:
     return out, start, used
 
 
-def block_cut(rows: DataFrame, block_size: int, group: tuple[str, ...] = ("run",)) -> DataFrame:
-    """rows with block_id: entries in key order, a block closed by the entry that brings it to block_size.
+def greedy_groups(rows: DataFrame, size: Column, limit: int, group: tuple[str, ...], order: str, name: str) -> DataFrame:
+    """rows with a number that grows by one after each entry that brings the sizes since the last to the limit.
 
     The cut depends on all entries before, so a group is cut by one task, as a stream of batches: state is two numbers,
-    and a group may be longer than memory. Groups (a run's key ranges) are spread over tasks.
+    and a group may be longer than memory. Groups (a run's key ranges, a log's shards) are spread over tasks.
     """
-    sized = rows.withColumn("_size", entry_bytes())
-    ordered = sized.repartition(*group).sortWithinPartitions(*group, "key")
+    sized = rows.withColumn("_size", size.cast("long"))
+    ordered = sized.repartition(*group).sortWithinPartitions(*group, order)
     names = sized.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,12 +45,17 @@ def block_cut(rows: DataFrame, block_size: int, group: tuple[str, ...] = ("run",
                 continue
             own = list(zip(*(batch.column(names.index(c)).to_pylist() for c in group)))
             new = np.array([a != b for a, b in zip(own, [last, *own[:-1]])])
-            ids, block, used = greedy_cut(batch.column(names.index("_size")).to_numpy(), new, block_size, block, used)
+            ids, block, used = greedy_cut(batch.column(names.index("_size")).to_numpy(), new, limit, block, used)
             last = own[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids)], names=[*names[:-1], "block_id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids)], names=[*names[:-1], name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ordered.mapInArrow(run, f"{fields}, block_id long")
+    return ordered.mapInArrow(run, f"{fields}, `{name}` long")
+
+
+def block_cut(rows: DataFrame, block_size: int, group: tuple[str, ...] = ("run",)) -> DataFrame:
+    """rows with block_id: entries in key order, a block closed by the entry that brings it to block_size."""
+    return greedy_groups(rows, entry_bytes(), block_size, group, "key", "block_id")
 
 
 def encoded_block_bytes(blocks: DataFrame, group: tuple[str, ...]) -> DataFrame:

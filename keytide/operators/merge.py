@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keytide.model import PUT, Config
 
+from .blocks import greedy_groups
 from .resolve import latest_per_key
 
 
@@ -25,6 +26,12 @@ def generations_by_stride(rows: DataFrame, stride: int) -> DataFrame:
     return rows.withColumn("generation", F.expr(f"seq div {int(stride)}"))
 
 
+def generations_by_size(rows: DataFrame, max_bytes: int, shard: tuple[str, ...]) -> DataFrame:
+    """rows with their generation: a shard's memtable is flushed after the operation that fills it; all operations count."""
+    size = F.octet_length("key") + F.when(F.col("op") == PUT, F.octet_length("value") + 16).otherwise(F.lit(8))
+    return greedy_groups(rows, size, max_bytes, shard, "seq", "generation")
+
+
 def merge_sorted(parts: list[DataFrame]) -> DataFrame:
     """All rows of all runs in key order, newer first within a key, nothing resolved."""
     out = parts[0]

@@ -260,6 +260,20 @@ def generations(spark, d):
     return g.groupBy("generation").agg(F.count(F.lit(1)).alias("operations")).join(newest_rows, "generation")
 
 
+@query(
+    f"WITH RECURSIVE {EV}, e AS (SELECT *, CAST(substr(key, 10, 1) AS INT) AS shard, strlen(key) + CASE WHEN op = 0 THEN strlen(value) + 16 ELSE 8 END AS size FROM ev), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS i FROM e), "
+    "g AS (SELECT shard, seq, i, CAST(0 AS BIGINT) AS generation, size AS used FROM n WHERE i = 1 UNION ALL "
+    "SELECT n.shard, n.seq, n.i, g.generation + CAST(g.used >= 4096 AS BIGINT), CASE WHEN g.used >= 4096 THEN n.size ELSE g.used + n.size END FROM g JOIN n ON n.shard = g.shard AND n.i = g.i + 1) "
+    "SELECT shard, generation, count(*) AS operations, min(seq) AS min_seq, max(seq) AS max_seq FROM g GROUP BY shard, generation"
+)
+def memtable_generations(spark, d):
+    """Ten shards by the key's last digit, each with a memtable of 4,096 bytes."""
+    log = fx.events(spark, d).withColumn("shard", F.substring("key", 10, 1).cast("int"))
+    cut = merge.generations_by_size(log, 4096, ("shard",))
+    return cut.groupBy("shard", "generation").agg(F.count(F.lit(1)).alias("operations"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+
+
 BLOCK = 512
 CUT = (
     f"WITH RECURSIVE {RUNS}, f AS {newest('runs', by='run, key')}, "
