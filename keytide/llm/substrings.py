@@ -33,6 +33,8 @@ from .words import Texts, Words, gram_hashes, i64, mix, slices, within, word_has
 WINDOW, GRAM = 50, 8
 #: Cells in each of the sketch's rows, and parts that a sketch is sent in.
 CELLS, ROWS, PARTS = 1 << 24, 2, 16
+#: Sketches that a task of the first level merges, about.
+FAN_IN = 128
 #: Windows that a task settles at a time.
 CHUNK = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -125,6 +127,9 @@ def merged_sketch(texts: DataFrame, window: int, gram: int) -> np.ndarray:
 
     schema = "part int, one binary, two binary"
     built = texts.select("text").mapInArrow(build, schema)
+    sets = -(-built.rdd.getNumPartitions() // FAN_IN)
+    if sets > 1:  # a first level, so that no task merges the sketches of very many others
+        built = built.withColumn("set", F.spark_partition_id() % sets).repartition(PARTS * sets, "part", "set").drop("set").mapInArrow(merge, schema)
     rows = built.repartition(PARTS, "part").mapInArrow(merge, schema).select("part", "two").collect()
     bits = np.zeros(ROWS * CELLS // 8, np.uint8)
     size = bits.size // PARTS

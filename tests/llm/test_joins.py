@@ -82,7 +82,9 @@ def brute_windows(rows, window):
         yield i, len(w), sum(out), " ".join(x for x, o in zip(w, out) if not o)
 
 
-def test_substring_dedup(spark, docs):
+@pytest.mark.parametrize("fan_in", [1, 128])
+def test_substring_dedup(spark, docs, monkeypatch, fan_in):
+    monkeypatch.setattr(substrings, "FAN_IN", fan_in)
     rnd = random.Random(4)
     say = lambda n: [rnd.choice("abcdefghij") for _ in range(n)]
     passage, long = say(60), say(400)
