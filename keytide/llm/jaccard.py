@@ -37,6 +37,8 @@ from .words import LOWER, Texts, gram_hashes, i64, mix, slices, within, word_has
 CELLS = 1 << 17
 #: Keys that a pair must share; sets under a key from which a hub takes the place of pairs.
 SHARED, HOT = 6, 128
+#: Cost of a subset key against a step of scanning; either makes one row of a table that is counted by key.
+KEY_COST = 1.0
 #: Size classes of the cost model; the last one is never small.
 LARGEST_CLASS = 256
 #: Shingles in a cell of pairs that one task verifies.
@@ -163,14 +165,18 @@ def boundary_by_cost(lists: DataFrame, num: int, den: int) -> int:
     """The size below which sets enumerate subsets. ``lists``: (key, band, id, n, f) with f sets under each key.
 
     Costs are summed over all sets by size class (number of shingles that a similar set may miss): scanning costs a
-    step for each other set in each list, enumerating a key for each pair of a set's shared shingles.
+    step for each other set in each list, enumerating KEY_COST steps for each pair of a set's shared shingles. There are
+    never more subset keys than entries in all lists, so enumerating keeps the tables' size in proportion.
     """
     p = F.floor(F.col("n") * (den - num) / F.lit(den)).cast("long")
     each = lists.groupBy("id", "band", "n").agg(F.sum(F.col("f") - 1).alias("scan"), F.count(F.lit(1)).alias("c"))
-    cost = each.groupBy(F.least(p, F.lit(LARGEST_CLASS)).alias("p")).agg(F.sum("scan").alias("scan"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("keys"), F.max("n").alias("n")).orderBy("p").collect()
-    best, boundary, gain = 0.0, 0, 0.0
+    cost = each.groupBy(F.least(p, F.lit(LARGEST_CLASS)).alias("p")).agg(F.sum("scan").alias("scan"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("keys"), F.sum("c").alias("entries"), F.max("n").alias("n")).orderBy("p").collect()
+    best, boundary, gain, keys, most = 0.0, 0, 0.0, 0.0, sum(r["entries"] for r in cost)
     for r in cost:
-        gain += r["scan"] - r["keys"]
+        gain += r["scan"] - KEY_COST * r["keys"]
+        keys += r["keys"]
+        if keys > most:
+            break
         if gain > best and r["p"] < LARGEST_CLASS:
             best, boundary = gain, r["n"] + 1
     return boundary
