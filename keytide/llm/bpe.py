@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .words import slices
 
 #: The pattern of the byte-level pre-tokenizer and its special token's text.
@@ -171,6 +172,7 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     cols.append(pa.array([bpe.decode(ids[at[i] : at[i + 1]]) for i in range(t.rows)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    small_batches(df.sparkSession)
     names = [id_col, "ids"] + ["decoded"] * decode
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode

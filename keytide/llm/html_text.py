@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: Fixed values of HTML: elements without content, elements whose content is no markup, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -266,5 +268,6 @@ def extracted(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("p
                 part = [main_text(x.as_py()) for x in source.slice(lo, 256)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, 256) for c in batch.columns[:-1]), pa.array(part, pa.string()), pa.array([len(x) for x in part], pa.int64())], names=[*keep, "text", "n_chars"])
 
+    small_batches(df.sparkSession)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, f"{schema}, text string, n_chars long")

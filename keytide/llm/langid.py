@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .words import Texts, slices
 
 BUCKETS = 1 << 13
@@ -141,6 +142,7 @@ def predicted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 cols = [batch.column(0).slice(t.first, t.rows), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(score < AMBIGUOUS)]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "lang_pred", "score", "ambiguous"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
 

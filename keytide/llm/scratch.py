@@ -13,8 +13,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: whole texts are long, and Spark's default of 10,000 of them fills several times their bytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS for the session, unless it has a value of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a new local one where the session has none."""
+    small_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="keytide-")
