@@ -2,8 +2,8 @@
 
 DataFrame functions only. Words are runs outside ASCII punctuation, controls and capitals, after lower-casing A-Z.
 Base labels come from phrases whose words stand consecutively. The method joins blocks (runs of at most ``BLOCK``
-words of a line, starting every ``STEP`` words) with the templates: a block gets a template's label if it contains at
-least ``THRESHOLD`` of the template's distinct words. Words are ordered by document frequency over the whole table,
+words, starting every ``STEP`` words of the whole text, across line breaks, and of each line) with the templates: a
+block gets a template's label if it contains at least ``THRESHOLD`` of the template's distinct words. Words are ordered by document frequency over the whole table,
 rarest first. Filters, all exact: a block must contain one of the template's size - need + 1 rarest words (prefix),
 must have at least ``need`` distinct words (length), and from the first shared word on enough words must be left on
 both sides (position).
@@ -86,11 +86,12 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     vocabulary, prefix = prefix_table(df, frequency, templates, threshold)
     heads = sorted({r["word"] for r in prefix.select("word").collect()})
 
-    # blocks that hold a prefix word, as their words of the vocabulary, rarest first
+    # blocks that hold a prefix word, as their words of the vocabulary, rarest first; lines of up to STEP + 1 words lie within a block of the text
     hit = lambda x: F.arrays_overlap(x, F.array(*map(F.lit, heads)))
-    lines = tokens.where(hit(F.col("tokens"))).select("id", "th", F.explode(F.split("low", "\n")).alias("line")).select("id", "th", word_array(F.col("line")).alias("w")).where(hit(F.col("w")))
+    lines = F.filter(F.transform(F.split("low", "\n"), word_array), lambda w: F.size(w) > STEP + 1)
+    runs = tokens.where(hit(F.col("tokens"))).select("id", "th", F.explode(F.concat(F.array("tokens"), F.when(F.contains("low", F.lit("\n")), lines).otherwise(F.array().cast("array<array<string>>")))).alias("w"))
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1 - STEP, F.lit(0)), F.lit(STEP)), lambda s: F.slice("w", s + 1, BLOCK))
-    blocks = lines.select("id", "th", F.explode(cut).alias("w")).select("id", "th", F.size(F.array_distinct("w")).alias("n"), F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("w")).alias("own"))
+    blocks = runs.select("id", "th", F.explode(cut).alias("w")).where(hit(F.col("w"))).select("id", "th", F.size(F.array_distinct("w")).alias("n"), F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("w")).alias("own"))
     probes = blocks.select("id", "th", "n", "own", F.posexplode("own").alias("j", "word"))
     met = probes.join(F.broadcast(prefix), "word").where((F.col("n") >= F.col("need")) & (F.least(F.col("size") - F.col("at"), F.size("own") - F.col("j")) + F.least("at", "j") >= F.col("need")))
     shared = F.size(F.array_intersect("words", "own"))

@@ -45,6 +45,23 @@ def test_licenses_equal_sql(spark, rows):
     same(licenses.scanned(rows.limit(0)), licenses.sql(), [])
 
 
+BSD = "Redistribution and use in source and binary forms,\n * with or without modification,\n * are permitted provided that"
+MPL = "This Source Code Form is subject to\nthe terms of the Mozilla\nPublic License, v. 2.0."
+
+
+def test_license_statements_cross_lines(spark):
+    words = MIT.split()
+    texts = [
+        ("mit", MIT.replace("free of charge, to any", "free of charge,\nto any").replace("software and", "software\nand")), ("mit", "\n".join(words)), ("mit", "x\n" * 45 + "\n".join(words) + "\ny" * 500), ("bsd", BSD), ("mpl-2", "// " + MPL.replace("\n", "\r\n// ")),
+        ("bsd,mit,mpl-2", "\n\n".join([BSD, "word " * 100, MPL, "\n".join(words)])), ("", "\n".join(words[:9])), ("", "\n".join(w + " pad" * 8 for w in words)),
+        ("mit", "x\n" * 20 + " ".join(w + " pad" for w in words)),  # a line longer than any two blocks of the text share
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scanned(df).collect()}
+    for i, (want, _) in enumerate(texts):
+        assert got[i]["labels"] == want and (got[i]["score"] >= 0.9) == bool(want) and got[i]["n_base"] == 0
+
+
 @pytest.mark.parametrize("m", [mixing.Mixture(), mixing.Mixture(epochs=1, budget=(1, 3), seed=3), mixing.Mixture(budget=(9, 1)), mixing.Mixture(domain_weights={"web": 0, "other": 7}, lang_weights={})])
 def test_mixing_equals_sql(spark, rows, m):
     same(mixing.selected(rows, m).drop("th"), mixing.sql(m))
