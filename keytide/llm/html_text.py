@@ -2,7 +2,8 @@
 
 A page becomes a DOM (one pass of a tag pattern with the implied end tags of HTML). Parts that never hold an
 article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; by element, role,
-class or id) leave it. For every node the link-adjusted density of characters per tag is computed; a node's sum is
+class or id) leave it. Within an article a class or id counts only where it names the element's role, not as a word
+of a longer one, and never removes most of the article's text, save a thread of comments. For every node the link-adjusted density of characters per tag is computed; a node's sum is
 that of its children's densities. The subtree with the largest sum is selected and widened along its path to the
 body while the parent holds other parts whose density reaches the path's threshold, the least density on that path.
 
@@ -49,7 +50,12 @@ HINTS = frozenset(
     "replies discussion share sharing social related recommended recommendations widget widgets pagination pager toolbar search skip form copyright toc taglist tags".split()
 )
 #: Hints that name an article's own parts when they stand inside it.
-INSIDE_OK = frozenset(["header", "foot", "tags"])
+INSIDE_OK = frozenset(["header", "foot", "tags", "discussion"])
+#: Words that may stand beside hints in a class or id that names an element's role inside an article.
+BESIDE = frozenset("article post entry page site blog wp box block bar list link links button buttons icon icons section area panel slot unit item items posts articles stories wrapper wrap container inner holder group".split())
+#: Hints of what others wrote below an article, often longer than it; and elements whose id is an anchor made of their title.
+THREADS = frozenset("comment comments disqus respond reply replies".split())
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|\Z)|/[^a-zA-Z][^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
@@ -57,6 +63,16 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def role(value: str, hints: frozenset) -> int:
+    """1 if a class or id inside an article names an element's role (each of its words is a hint or stands beside one), 2 if that of a thread."""
+    out = 0
+    for token in value.split():
+        parts = {word.lower() for word in WORD.findall(token)}
+        if parts & hints and parts <= HINTS | BESIDE:
+            out = max(out, 2 if parts & THREADS else 1)
+    return out
+
+
 def left_out(name: str, rest: str, inside: bool) -> int:
     """0: an ordinary element; 1: marked by class or id; 2: certainly no article. inside: within an article."""
     if name in NO_ARTICLE or name == "header" and not inside:
@@ -70,11 +86,11 @@ def left_out(name: str, rest: str, inside: bool) -> int:
             return 2
         if key == "role" and value.lower() in ROLES:
             return 2
-        if key in ("class", "id"):
-            for word in WORD.findall(value):
-                word = word.lower()
-                if word in HINTS and not (inside and word in INSIDE_OK):
-                    out = 1
+        if key in ("class", "id") and inside:
+            out = max(out, role(value, THREADS if key == "id" and name in TITLED else HINTS - INSIDE_OK))
+        elif key in ("class", "id"):
+            if any(word.lower() in HINTS for word in WORD.findall(value)):
+                out = 1
     return out
 
 
@@ -191,13 +207,22 @@ class Page:
         for i in range(n - 1, 0, -1):
             whole[parent[i]] += whole[i]
             plain[parent[i]] += plain[i]
-        gone = [False] * n
+        own = [c - k for c, k in zip(self.chars, self.linked)]  # plain without what is certainly no article
+        full = [False] * n  # holds an article element
+        for i in range(n - 1, 0, -1):
+            if self.mark[i] != 2 or self.main[i]:
+                own[parent[i]] += own[i]
+            full[parent[i]] = full[parent[i]] or full[i] or name[i] == "article"
+        gone, home = [False] * n, [0] * n  # home: the article around a node, or a main element that holds none
         for i in range(1, n):
-            if gone[parent[i]]:
+            p = parent[i]
+            home[i] = p if name[p] == "article" or name[p] == "main" and not full[p] and not home[p] else home[p]
+            if gone[p]:
                 gone[i] = True
             elif self.mark[i] and not self.main[i]:
-                # on a page without an article element, a class or id alone does not remove most of the text
-                gone[i] = self.mark[i] == 2 or self.main[0] or 2 * plain[i] <= plain[0]
+                # within an article, or on a page without one, a class or id alone does not remove most of its text
+                most = 2 * own[i] > own[home[i]] if home[i] else not self.main[0] and 2 * plain[i] > plain[0]
+                gone[i] = self.mark[i] == 2 or not most
         chars, linked = [0 if g else c for c, g in zip(self.chars, gone)], [0 if g else c for c, g in zip(self.linked, gone)]
         tags, links = [0] * n, [0] * n
         for i in range(n - 1, 0, -1):

@@ -135,3 +135,25 @@ def test_main_text_of_pages(spark):
     for i, (_, want) in enumerate(PAGES):
         assert want is None or got[i]["text"] == want
         assert got[i]["n_chars"] == len(got[i]["text"])
+
+
+TEXT = "A paragraph of the article with some words in it, which nobody wants to lose. " * 3
+WRAPPED = [f"<{tag} {mark}>{{}}</{tag}>" for tag, mark in [("div", 'class="elementor-widget-container"'), ("div", 'class="content no-sidebar"'), ("section", 'id="discussion"'), ("section", 'id="related-work"'), ("div", 'id="related-work"'), ("section", "id=search"), ("div", 'class="has-comments withoutSharing"')]]
+ROLE = ['class="share-buttons"', 'class="post-ad"', 'id="newsletter-signup"', 'class="x related-posts"', 'class="entry-comments"', "class=sidebar"]
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_wrappers_inside_an_article_stay(outer):
+    p = " ".join(TEXT.split())
+    page = lambda inner: f"<body><div class='ad'>Buy</div><{outer}><h1>T</h1>{inner}</{outer}><div id=footer>f</div></body>"
+    for wrapper in WRAPPED:
+        part = wrapper.format(f"<p>{TEXT}</p>")
+        assert html_text.main_text(page(part)) == f"T\n{p}"  # all of the text
+        assert html_text.main_text(page(part * 3 + f"<p>{TEXT}</p>")) == "\n".join(["T"] + [p] * 4)  # a quarter of it each
+    for mark in ('class="widget"', 'class="content sidebar"', "id=promo"):  # a role, but most of the text
+        assert html_text.main_text(page(f"<div {mark}><p>{TEXT}</p></div><aside><p>{TEXT * 3}</p></aside>")) == f"T\n{p}"
+    for mark in ROLE:
+        assert html_text.main_text(page(f"<p>{TEXT}</p><div {mark}><p>Tell your friends</p></div>")) == f"T\n{p}"
+    assert html_text.main_text(page(f"<p>{TEXT}</p><section id=comments><p>{TEXT * 5}</p></section>")) == f"T\n{p}"
+    assert html_text.main_text(f"<main><article><h1>T</h1><p>{TEXT}</p></article><div class=related><p>{TEXT * 5}</p></div></main>") == f"T\n{p}"
+    assert html_text.main_text(f"<article><h2 id=sharing>T</h2><p>{TEXT}</p></article>") == f"T\n{p}"
