@@ -2,8 +2,8 @@
 
 Equal vectors form one class that carries its smallest ids (k + 1 of them, all that any answer can need), so one very
 common vector is one entry. A bounded sample of classes is halved again and again into lists of equal size; their
-means are the centroids, linked to a neighbour graph that is searched in memory. Every class goes to its nearest list
-and, near a border, to up to ``COPIES`` lists whose distance is within ``BORDER`` of the nearest. A query's lists are
+means are the centroids, linked to a neighbour graph that is searched in memory for the entries; queries, which may
+need any number of lists, are compared with every centroid. Every class goes to its nearest list and, near a border, to up to ``COPIES`` lists whose distance is within ``BORDER`` of the nearest. A query's lists are
 those whose centroid lies within ``RATIO`` of the nearest centroid's distance. Lists are cut into blocks of bounded
 size, queries into groups, and each block answers a group with its nearest entries: first the blocks of the few nearest
 lists, then the others, which leave out what is farther than k + 1 entries already found; the last step merges them.
@@ -30,7 +30,7 @@ from .scratch import written
 
 SAMPLE, LISTS, LIST_SIZE = 16384, 1024, 128
 COPIES, BORDER = 3, 1.1
-RATIO, BEAM, EDGES = 1.15, 256, 24
+RATIO, EDGES = 1.15, 24
 #: Lists searched first; entries of a list and queries that one task compares.
 NEAR, BLOCK, GROUP, SEED = 4, 4096, 1024, 5
 
@@ -79,7 +79,12 @@ class Graph:
         self.start = np.random.default_rng(seed).choice(n, min(16, n), replace=False)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and distances of about the ``beam`` nearest centroids of each row, nearest first; -1 and inf fill up."""
+        """Numbers and distances of about the ``beam`` nearest centroids of each row, nearest first; -1 and inf fill up.
+        A beam that holds every centroid compares with each."""
+        if beam >= len(self.c):
+            dist = np.concatenate([np.zeros((0, len(self.c)))] + [((self.c[None] - q[lo : lo + 32, None]) ** 2).sum(axis=2) for lo in range(0, len(q), 32)])
+            at = np.argsort(dist, axis=1, kind="stable")
+            return at, np.sqrt(np.take_along_axis(dist, at, axis=1))
         rows, every = len(q), np.arange(len(q))
         seen = np.zeros((rows, len(self.c)), bool)
         at = np.broadcast_to(self.start, (rows, len(self.start))).copy()
@@ -172,7 +177,7 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     asked = usable(queries, id_col, vec_col).where(F.size("vec") == sizes[0]["n"]).distinct()
     wanted = asked.groupBy("vec").agg(F.min("id").alias("qid"))
     posted = written(listed(entries, graph, 32, BORDER, COPIES), "ann-lists")
-    probing = written(listed(wanted, graph, BEAM, RATIO, None), "ann-probes")
+    probing = written(listed(wanted, graph, LISTS, RATIO, None), "ann-probes")
 
     # both counts have a row for each list at most
     cut = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -107,6 +107,26 @@ def test_sliding_minimum():
         assert substrings.sliding_min(x, k).tolist() == [int(x[i : i + k].min()) for i in range(len(x) - k + 1)]
 
 
+def test_queries_get_every_list_within_the_ratio(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 2)
+    asked = []
+    listed = ann.listed
+    monkeypatch.setattr(ann, "listed", lambda df, graph, beam, ratio, most: asked.append((graph, ratio, most, out := listed(df, graph, beam, ratio, most))) or out)
+    rows = np.random.default_rng(6).normal(size=(1500, 400))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    queries = np.random.default_rng(7).normal(size=(15, 400))
+    ann.neighbours(df, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], df.schema))
+    graph, ratio, most, out = asked[-1]
+    assert most is None and len(graph.c) == 750
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["qid"], set()).add(r["list"])
+    assert set(got) == set(range(15)) and max(map(len, got.values())) > 256
+    for q, have in got.items():
+        d = np.sqrt(((graph.c - queries[q]) ** 2).sum(axis=1))
+        assert have == set(np.flatnonzero(d <= d.min() * ratio + 1e-12).tolist())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(900, 8)).astype(np.float32)
