@@ -368,9 +368,10 @@ def bloom_probe(spark, d):
 
 @query("SELECT 0::BIGINT AS missed")
 def bloom_fn_zero(spark, d):
-    """How many keys of a filter's own it misses."""
+    """How many keys of a filter's own it misses; the filter is sized by the number of keys."""
     keys = fx.events(spark, d).select("key").distinct()
-    return bloom.probe(bloom.build(keys, M, K), keys, M, K).agg(F.count_if(~F.col("maybe")).alias("missed"))
+    m, k = bloom.parameters(keys.count())
+    return bloom.probe(bloom.build(keys, m, k), keys, m, k).agg(F.count_if(~F.col("maybe")).alias("missed"))
 
 
 # merge and compaction
