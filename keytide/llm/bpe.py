@@ -3,7 +3,9 @@
 The texts of a batch are cut into pieces by the tokenizer's pattern. All pieces not met before are encoded at
 once: their byte symbols lie in one flat array; in every round the keys of all neighbouring pairs are looked up
 by binary search in the sorted table of merges, each piece merges every place of its lowest-ranked pair, and
-pieces without a pair that merges leave the array. Pieces met before come from a cache of bounded size.
+pieces without a pair that merges leave the array. Pieces met before come from a cache of bounded size. Pieces above
+``LONG`` bytes (a text without spaces is one) merge rank by rank instead: a round merges all places of the lowest rank
+of all such pieces and looks up only the pairs beside them, so that a long piece costs no rescan of itself.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text. Repeated
 rows give repeated rows. Of the input only the id and text columns are read, so other columns cannot clash.
@@ -11,6 +13,7 @@ rows give repeated rows. Of the input only the id and text columns are read, so
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -29,8 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that a worker remembers.
 CACHE_PIECES = 150_000
-#: Bytes of text handled at a time.
-SLICE = 2 << 20
+#: Bytes of text handled at a time; bytes from which a piece merges rank by rank.
+SLICE, LONG = 2 << 20, 512
 
 
 def byte_letters() -> list[str]:
@@ -53,6 +56,10 @@ class Bpe:
         model = spec["model"]
         if model["type"] != "BPE" or spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError(f"{path} is not a byte-level BPE tokenizer")
+        odd = [x for x in ("ignore_merges", "byte_fallback", "fuse_unk", "dropout", "continuing_subword_prefix", "end_of_word_suffix") if model.get(x)]
+        odd += [x for x in ("add_prefix_space",) if spec["pre_tokenizer"].get(x)] + [x for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word") if t.get(x)]
+        if odd or not spec["pre_tokenizer"].get("use_regex", True):
+            raise ValueError(f"{path} asks for what is not built: {', '.join(odd) or 'no pattern'}")
         vocab = model["vocab"]
         letter = byte_letters()
         byte_of = {c: b for b, c in enumerate(letter)}
@@ -72,8 +79,72 @@ class Bpe:
         self.keys, self.rank, self.made = keys[order], order, np.array(made, np.int64)
         self.pattern = piece_pattern()
 
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank at which each pair merges; the number of merges if it does not."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], len(self.keys))
+
     def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and how many each piece has."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        long = size > LONG
+        if not long.any():
+            return self.merged_short(pieces)
+        count = np.zeros(len(pieces), np.int64)
+        short_ids, count[~long] = self.merged_short([p for p, x in zip(pieces, long.tolist()) if not x])
+        long_ids, count[long] = self.merged_long([p for p, x in zip(pieces, long.tolist()) if x])
+        of_long = np.repeat(long, count)
+        out = np.empty(of_long.size, np.int64)
+        out[of_long], out[~of_long] = long_ids, short_ids
+        return out, count
+
+    def merged_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merged() by rounds over ranks; symbols are linked, so that a merge touches its neighbours only."""
+        never = len(self.keys)
+        size = np.array([len(p) for p in pieces], np.int64)
+        sym = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = sym.size
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.cumsum(size) - 1
+        after[last], before[last - size + 1] = n, -1
+        rank, live, waiting, queue = np.full(n, never), np.ones(n, bool), {}, []
+
+        def look_up(at: np.ndarray) -> None:
+            rank[at] = never
+            at = at[after[at] < n]
+            rank[at] = self.ranked(sym[at], sym[after[at]])
+            at = at[rank[at] < never]
+            at = at[np.argsort(rank[at], kind="stable")]
+            edge = np.flatnonzero(np.diff(rank[at], prepend=-1)) if at.size else np.zeros(0, np.int64)
+            for part in np.split(at, edge[1:]) if at.size else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(part)
+
+        look_up(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not at.size:
+                continue
+            # of a run of overlapping places every second one merges, from the left
+            head = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            every = np.arange(at.size)
+            at = at[(every - np.maximum.accumulate(np.where(head, every, 0))) % 2 == 0]
+            gone = after[at]
+            sym[at], live[gone], rank[gone], after[at] = self.made[r], False, never, after[gone]
+            follows = after[at] < n
+            before[after[at[follows]]] = at[follows]
+            look_up(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+        own = np.repeat(np.arange(len(pieces)), size)[live]
+        return sym[live], np.bincount(own, minlength=len(pieces))
+
+    def merged_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merged() by rounds over all pieces, each merging its lowest rank."""
         if not pieces:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         never = len(self.keys)
@@ -82,9 +153,7 @@ class Bpe:
         own = np.repeat(np.arange(len(pieces)), size)
         done_sym, done_own = [], []
         while sym.size:
-            key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), never - 1)
-            rank = np.where((self.keys[at] == key) & (own[:-1] == own[1:]), self.rank[at], never)
+            rank = np.where(own[:-1] == own[1:], self.ranked(sym[:-1], sym[1:]), never)
             start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             best = np.minimum.reduceat(np.concatenate([rank, [never]]), start)
             length = np.diff(np.concatenate([start, [sym.size]]))

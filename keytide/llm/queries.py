@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 from . import ann, bpe, html_text, jaccard, langid, licenses, mixing, quality, rollup, substrings
 from .scratch import new_path, written
 
-#: Folder of the tokenizer vocabularies; a parameter of the deployment.
-TOKENIZERS = "/opt/tokenizers"
+#: The tokenizer's vocabulary; a parameter of the deployment.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public vocabulary lies on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +89,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
