@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.llm import bpe, jaccard, mixing, quality, substrings
-from keytide.llm.queries import TOKENIZERS, table
+from keytide.llm.queries import table, tokenizer_path
 from keytide.llm.routing import without
 from keytide.llm.scratch import written
 
@@ -45,7 +45,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encoded(docs, f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return bpe.digests(bpe.encoded(docs, tokenizer_path()))
 
 
 STAGES = [
