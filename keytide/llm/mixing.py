@@ -65,7 +65,8 @@ def filled(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     capacity; the others share by weight what full ones leave.
     """
     group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = group.orderBy(F.col("cap") / F.col("w"), name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # cap / w in two parts, so that no large quotient is rounded
+    order = group.orderBy(F.expr("cap div w"), (F.col("cap") % F.col("w")) / F.col("w"), name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = children.where("w > 0 AND cap > 0")
     x = x.withColumns({"_c": F.sum("cap").over(order), "_v": F.sum("w").over(order), "_all": F.sum("w").over(group)})
     x = x.withColumn("_full", F.col("w") * (F.col("budget") - F.col("_c")) >= F.col("cap") * (F.col("_all") - F.col("_v")))
@@ -115,11 +116,21 @@ def selected(df: DataFrame, m: Mixture = Mixture(), id_col: str = "doc_id", text
 
 
 def mixed(df: DataFrame, m: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that selected() takes, each as many times as it takes them."""
-    take = selected(df, m, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.max("epoch").alias("_e"), F.count_distinct("epoch").cast("int").alias("_k"))
-    th = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = df.join(take, F.col(id_col).eqNullSafe(F.col("_id")) & (th == F.col("_th")))
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df that selected() takes, each as many times as it takes them.
+
+    Rows that share id and text are taken together, save where a leaf's budget ends among them: then, in that epoch, as
+    many of them as it takes, in the order of all their columns' hash.
+    """
+    key = lambda i, th: F.md5(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), th))
+    rows = df.select(key(F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    each = selected(df, m, id_col, text_col).groupBy(key(F.col(id_col), F.col("th")).alias("key"), "epoch").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    take = each.groupBy("key").agg(F.collect_list("c").alias("takes"), F.min("c").alias("low")).join(copies, "key")
+    take = written(take.select("key", "takes", (F.col("low") < F.col("copies")).alias("some")), "mix-take")
+    whole = rows.join(take.where("NOT some"), "key").select("row", F.explode("takes"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    some = rows.join(take.where("some"), "key").withColumn("place", place).select("row", F.explode(F.filter("takes", lambda c: c >= F.col("place"))))
+    return whole.select("row.*").unionByName(some.select("row.*"))
 
 
 def sql(m: Mixture = Mixture()) -> str:
