@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import smallest_hashes, written
 
 SAMPLE, LISTS, LIST_SIZE = 16384, 1024, 128
 COPIES, BORDER = 3, 1.1
@@ -169,8 +169,8 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         return spark.createDataFrame([], result)
     good = good.where(F.size("vec") == sizes[0]["n"])
     entries = written(classes(good, k), "ann-classes")
-    sample = entries.orderBy(F.xxhash64("cid")).select("vec").limit(SAMPLE).toPandas()
     n = entries.count()
+    sample = smallest_hashes(entries.select("cid", "vec"), F.xxhash64("cid"), SAMPLE, n).select("vec").toPandas()
     x = np.array(sample["vec"].tolist(), float)
     graph = Graph(halved(x, int(min(LISTS, max(1, n // LIST_SIZE))), np.random.default_rng(SEED)))
 

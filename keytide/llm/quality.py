@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .routing import chosen
+from .scratch import smallest_hashes, written
 from .words import SPACE, gram_hashes, i64, mix, slices, within, word_hashes, words
 
 #: Most labelled rows that the forest is fitted on.
@@ -193,7 +194,8 @@ def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_q"))
     passing = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     labelled = passing.join(known, F.col(id_col) == F.col("_id")).select(id_col, *COUNTS, "_q")
-    sample = labelled.orderBy(F.xxhash64(id_col), *COUNTS).select(*COUNTS).limit(FOREST_ROWS).toPandas()
+    labelled = written(labelled, "labelled")
+    sample = smallest_hashes(labelled.drop("_q"), F.xxhash64(id_col), FOREST_ROWS, labelled.count()).select(*COUNTS).toPandas()
     if not len(sample):
         return None, 2.0
     forest = Forest(features({c: sample[c].to_numpy() for c in COUNTS}))
@@ -214,8 +216,10 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def passing(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that quality() keeps, each judged by its own text; a second pass over the texts, no shuffle."""
-    forest, cut = fitted(written(statistics(df, id_col, text_col), "rule-stats"), labels, id_col)
+    """The rows of ``df`` that quality() keeps, each judged by its own text, without a shuffle; a first pass fits on labelled rows only."""
+    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast(df.schema[id_col].dataType).alias(id_col)).where(F.col(id_col).isNotNull())
+    some = chosen(df.select(id_col, text_col), known, [id_col])
+    forest, cut = fitted(statistics(some, id_col, text_col), labels, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,16 +1,18 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Every table that cuts lineage is written as Parquet below ``spark.checkpoint.dir``, so a lost executor loses
-nothing. Where the session does not set that folder (tests), a temporary one is set for the session.
+nothing. A cluster has to set that folder; a session with a local master gets a temporary one if it sets none.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch: whole texts are long, and Spark's default of 10,000 of them fills several times their bytes.
@@ -24,10 +26,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new local one where the session has none."""
+    """The folder in ``spark.checkpoint.dir``; a new local one where a local session has none."""
     small_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="keytide-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -46,6 +50,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def smallest_hashes(df: DataFrame, hashed: Column, n: int, total: int) -> DataFrame:
+    """The n rows with the smallest values of a 64-bit hash, of about ``total`` rows; no task sends more than its share.
+
+    Rows above a cut-off that should hold a few more than n are left out before they are ordered; if it holds fewer, it
+    moves up.
+    """
+    share = min(1.0, (n + 8 * n**0.5 + 64) / max(total, 1))
+    while share < 1.0:
+        some = df.where(hashed < F.lit(int(-(2**63) + share * 2**64)))
+        if some.count() >= n:
+            return some.orderBy(hashed, *df.columns).limit(n)
+        share = min(1.0, 2 * share)
+    return df.orderBy(hashed, *df.columns).limit(n)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a table of ``written()`` that no later plan reads."""
     path = getattr(df, "scratch_path", None)
