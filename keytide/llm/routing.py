@@ -1,6 +1,8 @@
-"""Bitmaps of fixed size that tell which rows a join can match, so that only those rows are shuffled.
+"""Bitmaps that tell which rows a join can match, so that only those rows are shuffled.
 
-A bitmap holds every key it was built from and may hold others: a row that it does not mark has no match.
+A bitmap holds every key it was built from and may hold others: a row that it does not mark has no match. It has
+``PER_KEY`` bits for each key, between ``LEAST`` and ``MOST`` bits in all; beyond that bound (32 MB) it marks more rows
+than it must, which costs shuffle and changes no result.
 """
 
 from __future__ import annotations
@@ -12,19 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 25
+PER_KEY, LEAST, MOST = 16, 1 << 20, 1 << 28
 
 
-def bit_of(cols: list[str]):
-    return F.pmod(F.xxhash64(*cols), F.lit(BITS))
+def bits_for(n_keys: int) -> int:
+    """Bits of a bitmap of so many keys: a power of two."""
+    return min(MOST, max(LEAST, 1 << (PER_KEY * max(n_keys, 1) - 1).bit_length()))
 
 
-def key_bits(keys: DataFrame, cols: list[str]) -> np.ndarray:
-    """The bitmap of the keys, built on the executors; BITS / 8 bytes whatever their number."""
-    at = bit_of(cols) + 1  # Spark's buckets and places start at value 1
+def bit_of(cols: list[str], bits: int):
+    return F.pmod(F.xxhash64(*cols), F.lit(bits))
+
+
+def key_bits(keys: DataFrame, cols: list[str], n_keys: int | None = None, hashed: bool = False) -> np.ndarray:
+    """The bitmap of the keys, built on the executors; sized by their number (counted here unless given).
+
+    ``hashed``: the one column is a hash already, and its last bits are its place.
+    """
+    bits = bits_for(keys.count() if n_keys is None else n_keys)
+    at = (F.pmod(F.col(cols[0]), F.lit(bits)) if hashed else bit_of(cols, bits)) + 1  # Spark's buckets and places start at value 1
     parts = keys.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
     size = 32768 // 8
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in parts:
         out[(r["part"] - 1) * size : r["part"] * size] = np.frombuffer(bytes(r["map"]), np.uint8)
     return out
@@ -36,6 +47,14 @@ def marked(bits: np.ndarray, at: pa.Array) -> np.ndarray:
     return (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
 
 
+def free_name(names: list[str], tag: str) -> str:
+    """A column name that none of ``names`` clashes with, whatever the session's case sensitivity."""
+    taken = {n.lower() for n in names}
+    while tag.lower() in taken:
+        tag += "_"
+    return tag
+
+
 def routed(rows: DataFrame, bits, cols: list[str], want: bool) -> DataFrame:
     """The rows that the broadcast bitmap marks (want), or the others."""
 
@@ -43,13 +62,14 @@ def routed(rows: DataFrame, bits, cols: list[str], want: bool) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(marked(bits.value, batch.column(batch.num_columns - 1)) == want))
 
-    out = rows.withColumn("_bit", bit_of(cols))
-    return out.mapInArrow(run, out.schema).drop("_bit")
+    place = free_name(rows.columns, "_bit")
+    out = rows.withColumn(place, bit_of(cols, bits.value.size * 8))
+    return out.mapInArrow(run, out.schema).drop(place)
 
 
-def chosen(rows: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+def chosen(rows: DataFrame, keys: DataFrame, cols: list[str], n_keys: int | None = None) -> DataFrame:
     """All rows that a join with keys on cols can match, and few others."""
-    return routed(rows, rows.sparkSession.sparkContext.broadcast(key_bits(keys, cols)), cols, True)
+    return routed(rows, rows.sparkSession.sparkContext.broadcast(key_bits(keys, cols, n_keys)), cols, True)
 
 
 def without(rows: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:

@@ -5,7 +5,9 @@ inside it, so equal windows have equal anchors and neighbouring windows share th
 of counts of windows. Three steps narrow the windows down, and none loses a repeated one:
 
 1. Count-min prefilter: every partition builds a sketch of its documents' anchors (two rows of cells that tell none,
-   one or more documents); the merged sketch, of fixed size, overestimates the counts.
+   one or more documents); the merged sketch overestimates the counts. It has ``PER_ANCHOR`` cells in a row for each anchor
+   that the bytes of text let expect, up to ``MOST_CELLS`` (a broadcast of 16 MB): beyond about 2 GB of text it marks
+   more and more anchors that are not repeated, which step 2 then sorts out (24 bytes for each, a tenth to a sixth of the text).
 2. Anchors estimated as repeated are grouped exactly, as (anchor, document) rows.
 3. Windows under exactly repeated anchors are grouped exactly by 128 bits (anchor and window hash). A task first settles all but the
    smallest document of each window among its own rows, so a window that very many documents share arrives once from
@@ -13,7 +15,8 @@ of counts of windows. Three steps narrow the windows down, and none loses a repe
 
 Defined results: null text has no words and a text of fewer than WINDOW words no windows, so nothing is removed from
 them. A row with null id comes after all others: it loses what numbered rows have and takes nothing from anyone.
-Rows with equal ids never take windows from each other; repeated rows get equal results.
+Rows with equal ids never take windows from each other; repeated rows get equal results; an empty table gives no rows; a
+text of any length is cut as a whole. Windows are told apart by 128 bits of hash, never by their words.
 """
 
 from __future__ import annotations
@@ -26,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import bit_of, chosen, key_bits, marked
+from .routing import bit_of, chosen, free_name, key_bits, marked
 from .scratch import written
 from .words import Texts, Words, gram_hashes, i64, mix, slices, within, word_hashes, words
 
 WINDOW, GRAM = 50, 8
-#: Cells in each of the sketch's rows, and parts that a sketch is sent in.
-CELLS, ROWS, PARTS = 1 << 24, 2, 16
+#: The sketch's rows, cells in each of them for each expected anchor (one in so many bytes of text), and parts that it is sent in.
+ROWS, PER_ANCHOR, LEAST_CELLS, MOST_CELLS, ANCHOR_BYTES, PARTS = 2, 4, 1 << 16, 1 << 26, 128, 16
 #: Sketches that a task of the first level merges, about.
 FAN_IN = 128
-#: Windows that a task settles at a time.
+#: Windows that a task settles at a time, and that a group of anchors holds, about.
 CHUNK = 1 << 20
+#: Values of an anchor's hash by which anchors are grouped.
+SPREAD = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LAST = np.iinfo(np.int64).max
 KEY = ["id", "th"]
@@ -74,74 +79,90 @@ def distinct_by_text(own: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np
     return own, value
 
 
-def cells(value: np.ndarray, row: int) -> np.ndarray:
-    return (mix(value + np.uint64((row + 1) * BASES[1] % 2**64)) % np.uint64(CELLS)).astype(np.int64)
+def cells_for(n_bytes: int) -> int:
+    """Cells in a row of the sketch of so many bytes of text: a power of two."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (PER_ANCHOR * n_bytes // ANCHOR_BYTES).bit_length()))
+
+
+def cells(value: np.ndarray, row: int, size: int) -> np.ndarray:
+    return (mix(value + np.uint64((row + 1) * BASES[1] % 2**64)) % np.uint64(size)).astype(np.int64)
 
 
 class Sketch:
-    """For each cell two bits: met at least once, met at least twice. Merging is exact on those."""
+    """For each cell of all rows whether it was met at least once, and at least twice, as sorted cell numbers: a
+    partition meets few of them. Merging is exact on those."""
 
-    def __init__(self):
-        self.one = np.zeros((ROWS, CELLS), bool)
-        self.two = np.zeros((ROWS, CELLS), bool)
+    def __init__(self, size: int):
+        self.size, self.one, self.two = size, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, value: np.ndarray) -> None:
-        for r in range(ROWS):
-            cell, n = np.unique(cells(value, r), return_counts=True)
-            self.two[r, cell] |= self.one[r, cell] | (n > 1)
-            self.one[r, cell] = True
+        cell, n = np.unique(np.concatenate([cells(value, r, self.size) + r * self.size for r in range(ROWS)]), return_counts=True)
+        self.two = np.union1d(self.two, np.concatenate([cell[n > 1], np.intersect1d(self.one, cell, assume_unique=True)]))
+        self.one = np.union1d(self.one, cell)
 
     def parts(self) -> Iterator[tuple[int, bytes, bytes]]:
-        one, two = np.packbits(self.one.ravel()), np.packbits(self.two.ravel())
-        size = one.size // PARTS
+        """Cell numbers within each part; a few bytes for each cell that was met."""
+        size = ROWS * self.size // PARTS
         for i in range(PARTS):
-            at = slice(i * size, (i + 1) * size)
-            yield i, zlib.compress(one[at].tobytes(), 1), zlib.compress(two[at].tobytes(), 1)
+            one, two = (x[np.searchsorted(x, i * size) : np.searchsorted(x, (i + 1) * size)] - i * size for x in (self.one, self.two))
+            yield i, one.astype(np.uint32).tobytes(), two.astype(np.uint32).tobytes()
 
 
-def merged_sketch(texts: DataFrame, window: int, gram: int) -> np.ndarray:
-    """Bits of the cells that more than one document met; of fixed size."""
+def merged_sketch(texts: DataFrame, window: int, gram: int, size: int) -> np.ndarray:
+    """Bits of the cells that more than one document met."""
+    part_size = ROWS * size // PARTS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch()
+        sketch, held, n = Sketch(size), [], 0
         for batch in batches:
             for t in slices(batch.column(0)):
                 w = words(t)
                 start, anchor = anchors(word_hashes(t.data, w), w, window, gram)
-                sketch.add(distinct_by_text(w.owner()[start], anchor)[1])
+                held.append(distinct_by_text(w.owner()[start], anchor)[1])
+                n += held[-1].size
+                if n >= CHUNK:
+                    sketch.add(np.concatenate(held))
+                    held, n = [], 0
+        if held:
+            sketch.add(np.concatenate(held))
         got = list(zip(*sketch.parts()))
-        yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.binary())], names=["part", "one", "two"])
+        yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.binary()), pa.array([False] * PARTS)], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list[np.ndarray]] = {}
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part, one, two in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                one, two = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (one, two))
-                if part in total:
-                    had = total[part]
-                    had[1] |= two | (had[0] & one)
-                    had[0] |= one
+            for part, one, two, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if part not in total:
+                    total[part] = (np.zeros(part_size, bool), np.zeros(part_size, bool))
+                had_one, had_two = total[part]
+                if packed:
+                    one, two = (np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).view(bool) for x in (one, two))
+                    had_two |= two | (had_one & one)
+                    had_one |= one
                 else:
-                    total[part] = [one.copy(), two.copy()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x[0].tobytes(), 1) for x in total.values()], pa.binary()), pa.array([zlib.compress(x[1].tobytes(), 1) for x in total.values()], pa.binary())], names=["part", "one", "two"])
-
-    schema = "part int, one binary, two binary"
+                    one, two = (np.frombuffer(x, np.uint32) for x in (one, two))
+                    had_two[one[had_one[one]]] = True
+                    had_two[two] = True
+                    had_one[one] = True
+        blob = lambda j: pa.array([zlib.compress(np.packbits(x[j]).tobytes(), 1) for x in total.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), blob(0), blob(1), pa.array([True] * len(total), pa.bool_())], names=names)
+
+    names, schema = ["part", "one", "two", "packed"], "part int, one binary, two binary, packed boolean"
     built = texts.select("text").mapInArrow(build, schema)
     sets = -(-built.rdd.getNumPartitions() // FAN_IN)
     if sets > 1:  # a first level, so that no task merges the sketches of very many others
         built = built.withColumn("set", F.spark_partition_id() % sets).repartition(PARTS * sets, "part", "set").drop("set").mapInArrow(merge, schema)
     rows = built.repartition(PARTS, "part").mapInArrow(merge, schema).select("part", "two").collect()
-    bits = np.zeros(ROWS * CELLS // 8, np.uint8)
-    size = bits.size // PARTS
+    bits = np.zeros(ROWS * size // 8, np.uint8)
     for r in rows:
-        bits[r["part"] * size : (r["part"] + 1) * size] |= np.frombuffer(zlib.decompress(bytes(r["two"])), np.uint8)
+        bits[r["part"] * part_size // 8 : (r["part"] + 1) * part_size // 8] |= np.frombuffer(zlib.decompress(bytes(r["two"])), np.uint8)
     return bits
 
 
 def suspected(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
-    ok = np.ones(value.size, bool)
+    ok, size = np.ones(value.size, bool), bits.size * 8 // ROWS
     for r in range(ROWS):
-        c = cells(value, r) + r * CELLS
+        c = cells(value, r, size) + r * size
         ok &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
     return ok
 
@@ -188,7 +209,7 @@ def smallest(anchor: np.ndarray, hashed: np.ndarray, ids: np.ndarray) -> np.ndar
     return out
 
 
-def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, groups: int) -> DataFrame:
+def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, th, runs): removed windows as pairs of int32 (first start, number), possibly in several rows for a text."""
     schema = "part int, id long, th long, anchor long, first int, number int, hash binary"
     names = ["part", "id", "th", "anchor", "first", "number", "hash"]
@@ -205,7 +226,7 @@ def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, group
             new = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (stays[1:] != stays[:-1])
             at = bounds(row.size, new)
             head = at[:-1]
-            part = np.where(stays[head], (mix(anchor[head]) % np.uint64(groups)).astype(np.int64), -1)
+            part = np.where(stays[head], (mix(anchor[head]) % np.uint64(SPREAD)).astype(np.int64), -1)
             size = np.where(stays[head], np.diff(at), 0)  # what is settled here needs no hashes
             sent = hashed[np.repeat(stays[head], np.diff(at))]
             yield pa.RecordBatch.from_arrays(
@@ -259,17 +280,19 @@ def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int, group
 
     rows = chosen(texts, anchored, KEY).alias("x").join(anchored.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.th") == F.col("y.th"))).select("x.id", "x.th", "x.text", "y.anchors")
     parts = written(rows.mapInArrow(split, schema), "windows")
-    far = parts.where("part >= 0").groupBy("part").applyInArrow(group, "id long, th long, first int, number int")
+    windows = parts.where("part >= 0").agg(F.coalesce(F.sum("number"), F.lit(0))).first()[0]
+    groups = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(windows) // CHUNK))
+    far = parts.where("part >= 0").withColumn("part", F.col("part") % groups).groupBy("part").applyInArrow(group, "id long, th long, first int, number int")
     return parts.where("part < 0").select("id", "th", "first", "number").unionByName(far)
 
 
 def removed_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, th, runs): for each row that loses words its removed windows (first start and number of neighbouring ones)."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    bits = merged_sketch(texts, window, gram)
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = merged_sketch(texts, window, gram, cells_for(int(n_bytes)))
     anchored = repeated_anchors(texts, bits, window, gram)
-    groups = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return settled(texts, anchored, window, gram, groups).groupBy("id", "th").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
+    return settled(texts, anchored, window, gram).groupBy("id", "th").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
 
 
 def covered(n: int, runs: list[dict], window: int) -> np.ndarray:
@@ -290,9 +313,10 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = written(removed_windows(df, id_col, text_col, window), "removed")
     bits = df.sparkSession.sparkContext.broadcast(key_bits(gone, KEY))
     names, schema = df.columns, df.schema
+    own_id, own_th, own_bit, own_runs = (free_name(names, x) for x in ("_id", "_th", "_bit", "_runs"))
     keep = names if whole_rows else [id_col]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep if c != text_col], F.col(text_col).cast("string").alias(text_col), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_th"))
-    rows = rows.withColumn("_bit", bit_of(["_id", "_th"]))
+    rows = df.select(*[F.col(f"`{c}`") for c in keep if c != text_col], F.col(text_col).cast("string").alias(text_col), F.col(id_col).cast("long").alias(own_id), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias(own_th))
+    rows = rows.withColumn(own_bit, bit_of([own_id, own_th], bits.value.size * 8))
 
     def judged(batch: pa.RecordBatch, runs) -> pa.RecordBatch:
         n, lost, spans, kept, stays = [], [], [], [], []
@@ -319,7 +343,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield batch.slice(lo, 256)
 
     def is_marked(batch: pa.RecordBatch) -> np.ndarray:
-        return marked(bits.value, batch.column(batch.schema.get_field_index("_bit")))
+        return marked(bits.value, batch.column(batch.schema.get_field_index(own_bit)))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -328,7 +352,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            yield judged(batch, batch.column(batch.schema.get_field_index("_runs")).to_pylist())
+            yield judged(batch, batch.column(batch.schema.get_field_index(own_runs)).to_pylist())
 
     def to_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,5 +362,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         result = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in schema)
     else:
         result = f"`{id_col}` {schema[id_col].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<first: long, last: long>>, kept string"
-    far = rows.mapInArrow(to_join, rows.schema).join(gone.withColumnsRenamed({"id": "_gid", "th": "_gth", "runs": "_runs"}), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left").drop("_gid", "_gth")
+    found = gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), F.col("runs").alias(own_runs)).alias("g")
+    near = rows.mapInArrow(to_join, rows.schema)
+    far = near.alias("r").join(found, F.col(f"r.{own_id}").eqNullSafe(F.col("g.gone_id")) & (F.col(f"r.{own_th}") == F.col("g.gone_th")), "left").select("r.*", f"g.{own_runs}")
     return rows.mapInArrow(untouched, result).unionByName(far.mapInArrow(touched, result))
