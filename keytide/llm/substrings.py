@@ -334,7 +334,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             stays.append(not lost[-1] or lost[-1] < n[-1])
         if whole_rows:
             cols = [pa.array(kept, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
-            return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stays))
+            return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stays, pa.bool_()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "spans", "kept"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

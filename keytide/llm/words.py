@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at a time; a longer text is a slice of its own, always whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Words longer than this are hashed one by one.
 LONG_WORD = 512
 

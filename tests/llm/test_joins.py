@@ -57,6 +57,45 @@ def test_jaccard_components(spark, docs, monkeypatch, k, num, den, hot):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows, k, num, den)
 
 
+def edited(seed, n, words, edits):
+    """n copies of one text, each with a few words of its own in random places, none of them the text itself."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for j in rnd.sample(range(words), rnd.randrange(1, edits)):
+            w[j] = f"x{i}_{j}" if rnd.random() < 0.7 else f"y{j}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
+def test_jaccard_of_large_groups(spark, docs, monkeypatch, k, num, den):
+    """A group above HOT without pairing it out, and small sets beside it; both halves of the join get sets."""
+    texts = edited(3, jaccard.HOT + 40, 120, 12) + [t for s in range(12) for t in edited(s + 50, 4, 14 + s, 2)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    seen = {}
+    boundary, subsets, pairs = jaccard.boundary_by_cost, jaccard.subset_keys, jaccard.verified
+    monkeypatch.setattr(jaccard, "boundary_by_cost", lambda lists, shared: seen.setdefault("boundary", boundary(lists, shared)))
+    monkeypatch.setattr(jaccard, "subset_keys", lambda small, size: [out := subsets(small, size), seen.update(subsets=out.count())][0])
+    monkeypatch.setattr(jaccard, "verified", lambda p, *a, **b: seen.setdefault("pairs", []).append(p.count()) or pairs(p, *a, **b))
+    out = jaccard.joined(docs(rows), k=k, num=num, den=den).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows, k, num, den)
+    assert seen["boundary"] > 0 and seen["subsets"] > 0
+    assert sum(seen["pairs"]) < (jaccard.HOT + 40) ** 2 / 2 + 400
+
+
+def test_subsets_of_fixed_size(spark):
+    keys = [{"key": x, "core": x != 7} for x in (9, 7, 5, 3)]
+    small = spark.createDataFrame([(0, 1, 10, 4, k["key"], k["core"]) for k in keys] + [(0, 2, 10, 4, x, True) for x in (3, 5, 9, 11)] + [(0, 3, 10, 2, x, True) for x in (3, 5)], "band int, id long, n long, q int, key long, core boolean")
+    got = {}
+    for r in jaccard.subset_keys(small, 3).collect():
+        got.setdefault(r["id"], {})[r["key"]] = r["core"]
+    assert len(got[1]) == len(got[2]) == 4 and 3 not in got
+    assert sorted(got[1].values()) == [False] * 3 + [True] and len(got[1].keys() & got[2].keys()) == 1
+
+
 def test_jaccard_of_empty_table(spark, docs):
     assert jaccard.joined(docs([])).count() == 0
 
@@ -101,6 +140,24 @@ def test_substring_dedup(spark, docs, monkeypatch, fan_in):
     assert hashlib.sha256(b"").hexdigest()  # the digest of a text of which nothing is left is that of no bytes
 
 
+def test_columns_may_have_any_name(spark, docs):
+    """Columns of the tables that the operators make for themselves, as columns of the documents."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    for name in ("_bit", "_ID", "_th", "_runs", "_gid", "id", "th", "key", "row"):
+        got = substrings.deduplicated(docs([(1, passage), (2, "a b " + passage)], extra=f"`{name}`"), whole_rows=True)
+        assert name in got.columns and {(r["doc_id"], r["text"], r[name]) for r in got.collect()} == {(1, passage, "x"), (2, "a b", "x")}
+
+
+def test_a_full_sketch_loses_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_CELLS", 64)
+    monkeypatch.setattr(substrings, "LEAST_CELLS", 64)
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(90))) for i in range(20)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    have = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.deduplicated(docs(rows)).collect())
+    assert have == sorted(brute_windows(rows, 50))
+
+
 def test_sliding_minimum():
     x = np.random.default_rng(1).integers(0, 99, 500).astype(np.uint64)
     for k in (1, 2, 43, 500, 501):

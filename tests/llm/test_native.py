@@ -74,6 +74,18 @@ def test_mixing_of_no_rows_and_of_whole_rows(spark, rows):
     assert whole.columns == rows.columns and whole.where("text IS NOT NULL").count() >= taken.select("doc_id", "th").distinct().count() - 1
 
 
+def test_equal_rows_are_taken_as_often_as_selected(spark):
+    """Four equal rows and a budget of two; other columns may have any name."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, `_th` int, row int"
+    rows = spark.createDataFrame([(1, "a b c d e", "en", "src0", 9, "x", i, 0) for i in range(4)], schema)
+    m = mixing.Mixture(epochs=1, budget=(1, 2))
+    assert mixing.selected(rows, m).count() == 2
+    got = mixing.mixed(rows, m)
+    assert got.columns == rows.columns and got.count() == 2 and len({r["_th"] for r in got.collect()}) == 2
+    twice = mixing.Mixture(epochs=2, budget=(3, 2))
+    assert mixing.mixed(rows, twice).count() == mixing.selected(rows, twice).count() == 6
+
+
 def test_shortages_stay_among_siblings(spark):
     """Ten tokens are missing in one source of a language: its sibling gives them, no other language."""
     leaves = [("web", "en", "src0", 10), ("web", "en", "src1", 100), ("web", "de", "src2", 100), ("books", "en", "src5", 200)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,19 @@ def test_bpe_equals_the_library(spark, docs):
     assert bpe.encoded(docs([]), path).count() == 0
 
 
+def test_long_words_merge_as_the_library_does():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    library, worker, rng = tokenizers.Tokenizer.from_file(path), bpe.Encoder(bpe.Bpe(path)), np.random.default_rng(8)
+    texts = ["a" * 3001, "ab" * 900 + "aaa" * 333, "x" * 513 + " y " + "the" * 700 + "é中" * 300, "".join(chr(97 + i) for i in rng.integers(0, 26, 200_000))]
+    texts += ["".join(rng.choice(["the", "ing", "er", "on", "aa", "a", "é"], 400)) for _ in range(20)]
+    began = time.perf_counter()
+    ids, at = worker.encode(texts)
+    assert time.perf_counter() - began < 10
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_language_id(spark, docs):
     seed = {"en": "the and of to with this that from", "de": "der die und nicht mit sich auch für", "fr": "le la les des une avec pour dans"}
     rng = np.random.default_rng(3)
