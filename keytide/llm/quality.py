@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import chosen
+from .routing import marking
 from .scratch import smallest_hashes, written
 from .words import SPACE, gram_hashes, i64, mix, slices, within, word_hashes, words
 
@@ -86,17 +86,21 @@ def rule_counts(t) -> dict[str, np.ndarray]:
     return out
 
 
-def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and COUNTS of every row; one pass, no shuffle."""
+def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ids: DataFrame | None = None) -> DataFrame:
+    """The id and COUNTS of every row, or of the rows with an id in ``ids`` and of few others; one pass, no shuffle."""
+    rows, keep = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), None
+    if ids is not None:
+        rows, keep = marking(rows, ids, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = keep(batch) if keep else batch
             for t in slices(batch.column(1)):
                 got = rule_counts(t)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows)] + [pa.array(got[c], pa.int64()) for c in COUNTS], names=[id_col, *COUNTS])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -218,8 +222,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def passing(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that quality() keeps, each judged by its own text, without a shuffle; a first pass fits on labelled rows only."""
     known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast(df.schema[id_col].dataType).alias(id_col)).where(F.col(id_col).isNotNull())
-    some = chosen(df.select(id_col, text_col), known, [id_col])
-    forest, cut = fitted(statistics(some, id_col, text_col), labels, id_col)
+    forest, cut = fitted(statistics(df, id_col, text_col, known), labels, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
