@@ -72,6 +72,16 @@ def chosen(rows: DataFrame, keys: DataFrame, cols: list[str], n_keys: int | None
     return routed(rows, rows.sparkSession.sparkContext.broadcast(key_bits(keys, cols, n_keys)), cols, True)
 
 
+def marking(rows: DataFrame, keys: DataFrame, col: str):
+    """rows with a last column, the place of ``col`` in a bitmap of keys, and a function that keeps a batch's rows that it marks.
+
+    For readers of whole texts: they filter as they read, so that a text goes to one Python worker, once.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(key_bits(keys, [col]))
+    out = rows.withColumn(free_name(rows.columns, "_bit"), bit_of([col], bits.value.size * 8))
+    return out, lambda batch: batch.filter(pa.array(marked(bits.value, batch.column(batch.num_columns - 1))))
+
+
 def without(rows: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
     """rows LEFT ANTI JOIN keys USING (cols), shuffling only rows that can match."""
     bits = rows.sparkSession.sparkContext.broadcast(key_bits(keys, cols))
