@@ -58,10 +58,14 @@ class Config:
     level_ratio: int = 10
     bloom_bits_per_key: int = 10
     run_file_bytes: int = 128 * 1024 * 1024
-    wal_sync: str = "every_write"
+    #: Attempts at a commit against other writers; 1 tries once.
+    commit_attempts: int = 5
+    #: Age in seconds from which files that no recent manifest names may be removed; a write must not take longer.
+    expire_grace: float = 24 * 3600.0
+    wal_sync: str = "no_sync"
 
     def __post_init__(self):
-        for name in ("memtable_max_size", "block_size", "l0_compaction_threshold", "max_levels", "level_ratio", "bloom_bits_per_key", "run_file_bytes"):
+        for name in ("memtable_max_size", "block_size", "l0_compaction_threshold", "max_levels", "level_ratio", "bloom_bits_per_key", "run_file_bytes", "commit_attempts"):
             if getattr(self, name) < 1:
                 raise InvalidArgument(f"{name} must be at least 1")
 

@@ -81,9 +81,13 @@ def nth_entry(blocks: DataFrame, i: int, group: tuple[str, ...]) -> DataFrame:
 def lower_bound(blocks: DataFrame, probes: DataFrame, group: tuple[str, ...]) -> DataFrame:
     """For each probe (column probe) and block, the place of the first entry at or after it; the block's size if none.
 
-    ``probes`` is a short list of keys and is broadcast.
+    The zone map answers for blocks that lie wholly before or after a probe; entries are counted in the others only.
     """
-    return blocks.join(F.broadcast(probes)).groupBy(*group, "block_id", "probe").agg(F.count_if(F.col("key") < F.col("probe")).alias("place"))
+    zones = zone_map(blocks, group).join(probes)
+    cut = (F.col("min_key") < F.col("probe")) & (F.col("max_key") >= F.col("probe"))
+    far = zones.where(~cut).select(*group, "block_id", "probe", F.when(F.col("max_key") < F.col("probe"), F.col("n_entries")).otherwise(F.lit(0)).cast("long").alias("place"))
+    near = blocks.join(zones.where(cut).select(*group, "block_id", "probe"), [*group, "block_id"])
+    return far.unionByName(near.groupBy(*group, "block_id", "probe").agg(F.count_if(F.col("key") < F.col("probe")).alias("place")))
 
 
 def pruned(zones: DataFrame, key) -> DataFrame:
@@ -92,6 +96,11 @@ def pruned(zones: DataFrame, key) -> DataFrame:
 
 
 def floor_blocks(zones: DataFrame, probes: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """For each probe and run the last block whose first key is not after it. ``probes`` is short and broadcast."""
-    near = zones.join(F.broadcast(probes)).where(F.col("min_key") <= F.col("probe"))
-    return near.groupBy(*group, "probe").agg(F.max_by("block_id", "min_key").alias("block_id"))
+    """For each probe and run the last block whose first key is not after it: one pass over both in key order.
+
+    A run's first keys and the probes (each with every run) are sorted together; the last block so far is the answer.
+    """
+    asked = zones.select(*group).distinct().join(probes.distinct()).select(*group, F.col("probe").alias("at"), F.lit(None).cast("long").alias("block_id"), F.lit(True).alias("asked"))
+    both = zones.select(*group, F.col("min_key").alias("at"), F.col("block_id").cast("long").alias("block_id"), F.lit(False).alias("asked")).unionByName(asked)
+    last = F.last("block_id", ignorenulls=True).over(Window.partitionBy(*group).orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("block_id", last).where("asked AND block_id IS NOT NULL").select(*group, F.col("at").alias("probe"), "block_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keytide.model import PUT, Config
@@ -16,9 +16,14 @@ def flush_run(rows: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     return latest_per_key(rows, by=(*run, "key"))
 
 
-def run_stats(runs: DataFrame, run: str = "run") -> DataFrame:
+def run_columns() -> list[Column]:
+    """What the manifest holds of a run, as aggregates of its rows."""
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    return runs.groupBy(run).agg(F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("op") != PUT).cast("long")).alias("n_tombstones"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum(size).alias("bytes"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+    return [F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("op") != PUT).cast("long")).alias("n_tombstones"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum(size).alias("bytes"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq")]
+
+
+def run_stats(runs: DataFrame, run: str = "run") -> DataFrame:
+    return runs.groupBy(run).agg(*run_columns())
 
 
 def generations_by_stride(rows: DataFrame, stride: int) -> DataFrame:

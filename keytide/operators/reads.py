@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keytide.functions.keys import has_prefix, in_range
 from keytide.model import PUT
 
-from .resolve import as_of, latest_per_key, live
+from .resolve import as_of, latest_op, latest_per_key, live
 
 #: A key list up to this many rows is sent to every task; longer ones are joined by shuffle.
 BROADCAST_KEYS = 100_000
@@ -31,8 +31,7 @@ def prefix_scan(rows: DataFrame, prefix, version: int | None = None) -> DataFram
 
 def keys(rows: DataFrame, start=None, end=None) -> DataFrame:
     """Live keys only; values are never read."""
-    slim = rows.where(in_range(F.col("key"), start, end)).select("key", "op", "seq")
-    return live(latest_per_key(slim)).select("key").orderBy("key")
+    return live(latest_op(rows.where(in_range(F.col("key"), start, end)))).select("key").orderBy("key")
 
 
 def first_at_or_after(rows: DataFrame, key) -> DataFrame:
@@ -58,5 +57,4 @@ def missing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def live_count(rows: DataFrame) -> DataFrame:
-    slim = rows.select("key", "op", "seq")
-    return live(latest_per_key(slim)).agg(F.count(F.lit(1)).alias("n"))
+    return live(latest_op(rows)).agg(F.count(F.lit(1)).alias("n"))

@@ -19,6 +19,15 @@ def latest_per_key(rows: DataFrame, by: tuple[str, ...] = ("key",), order: tuple
     return rows.groupBy(*by).agg(kept).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
+def latest_op(rows: DataFrame) -> DataFrame:
+    """(key, op, seq) of the newest row of each key: latest_per_key() without values.
+
+    seq and op in one number (op is 0 or 1, seq below 2 ** 62) are a hash aggregation, which sorts nothing.
+    """
+    packed = rows.groupBy("key").agg(F.max(F.col("seq").cast("long") * 2 + F.col("op")).alias("packed"))
+    return packed.select("key", (F.col("packed") % 2).cast(rows.schema["op"].dataType).alias("op"), F.shiftright("packed", 1).cast(rows.schema["seq"].dataType).alias("seq"))
+
+
 def live(latest: DataFrame) -> DataFrame:
     """Without deletions. Only after the last reduction: a deletion has to mask older rows first."""
     return latest.where(F.col("op") == PUT).drop("op")

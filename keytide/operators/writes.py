@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keytide.model import DELETE, PUT, checked, normalised
 
-from .resolve import latest_per_key
+from .resolve import latest_op, latest_per_key
 
 
 def put_rows(pairs: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def one_commit(rows: DataFrame, ordinal: str | None = None) -> DataFrame:
 def memtable_stats(rows: DataFrame, key_overhead: int = 8, entry_overhead: int = 16) -> DataFrame:
     """entries (deletions included), tombstones and bytes of an unflushed part: of all operations, so overwriting counts."""
     size = F.octet_length("key") + F.when(F.col("op") == PUT, F.octet_length("value") + entry_overhead).otherwise(F.lit(key_overhead))
-    newest = latest_per_key(rows.select("key", "op", "seq")).agg(F.count(F.lit(1)).alias("entries"), F.sum((F.col("op") == DELETE).cast("long")).alias("tombstones"))
+    newest = latest_op(rows).agg(F.count(F.lit(1)).alias("entries"), F.sum((F.col("op") == DELETE).cast("long")).alias("tombstones"))
     return newest.join(rows.agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("operations")))
 
 

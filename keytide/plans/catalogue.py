@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from keytide.functions.keys import fnv1a
 from keytide.model import Config
 from keytide.operators import blocks, bloom, merge, reads, resolve, snapshots, writes
+from keytide.sources.store import Store
+from keytide.sources.transaction import Transaction
+from keytide.streaming.ingest import ingest
 
 from . import fixtures as fx
 
@@ -198,7 +201,7 @@ def wal_replay(spark, d):
     """The newest rows of the log after a flush half way."""
     log = fx.events(spark, d)
     half = log.agg(F.expr("count(*) div 2").alias("half"))
-    return resolve.latest_per_key(log.join(F.broadcast(half), F.col("seq") > F.col("half")).drop("half")).select("key", "op", "seq")
+    return resolve.latest_op(log.join(F.broadcast(half), F.col("seq") > F.col("half"))).select("key", "op", "seq")
 
 
 # transactions
@@ -442,6 +445,105 @@ def snapshot_registry(spark, d):
     return low.select(F.col("version").alias("min_version")).join(five.withColumnRenamed("needed", "needs_5")).join(nine.withColumnRenamed("needed", "needs_9")).join(left)
 
 
+# stores on disk
+
+
+def _store(spark, tag: str, **settings) -> Store:
+    return Store.open(spark, fx.scratch(spark, tag), Config(**{"memtable_max_size": 1 << 40} | settings))
+
+
+def _binary(rows: DataFrame) -> DataFrame:
+    return rows.select(*[c for c in rows.columns if c not in ("key", "value")], F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+
+
+def _text(view: DataFrame) -> DataFrame:
+    return view.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def _written(store: Store, log: DataFrame) -> int:
+    """Log rows as one commit; of a key's rows the last by seq counts."""
+    return store.write(_binary(log).withColumn("op", F.col("op").cast("tinyint")), "seq")
+
+
+@query(f"WITH {ORD}, {CK} SELECT ord.key, CASE WHEN ord.key < '0000000300' THEN 'again' ELSE value END AS value FROM ord LEFT JOIN ck USING (key) WHERE ck.key IS NULL OR ord.key < '0000000300'")
+def store_roundtrip(spark, d):
+    """All orders are put, the customers' keys deleted, some put again: the store as it is when opened anew."""
+    store, log = _store(spark, "roundtrip"), fx.orders(spark, d)
+    store.put_batch(_binary(log.select("key", "value")))
+    store.delete_batch(_binary(fx.customer_keys(spark, d).withColumn("value", F.lit(None).cast("string"))).select("key"))
+    store.put_batch(_binary(log.where("key < '0000000300'").select("key", F.lit("again").alias("value"))))
+    store.close()
+    return _text(Store.open_default(spark, store.path).view())
+
+
+@query(f"WITH {EV} SELECT key, value FROM {newest('ev')} WHERE op = 0")
+def store_flush_reopen(spark, d):
+    """The event log in four commits, of which three are flushed to runs of several files; then the store is opened anew."""
+    store = _store(spark, "reopen", run_file_bytes=1 << 14, bloom_bits_per_key=8)
+    log = fx.events(spark, d)
+    for part in range(4):
+        _written(store, log.where(F.expr(f"seq div (SELECT greatest(1, ceil(max(event_id + 1) / 4)) FROM parquet.`{d}/events.parquet`) = {part}")))
+        if part < 3:
+            store.flush()
+    return _text(Store.open_default(spark, store.path).view())
+
+
+@query(f"WITH {RUNS}, r AS (SELECT count(DISTINCT run) AS n FROM runs), v AS {newest('runs')} SELECT key, value FROM v WHERE op = 0")
+def store_compact_levels(spark, d):
+    """A run at level 0 for each tenth of the log, then compaction until no level needs it."""
+    store, rows = _store(spark, "levels", l0_compaction_threshold=4), fx.runs(spark, d)
+    for run in sorted(r["run"] for r in rows.select("run").distinct().collect()):
+        _written(store, rows.where(F.col("run") == run).drop("run"))
+        store.flush()
+    store.maintain()
+    return _text(store.view())
+
+
+@query(f"WITH {EV} SELECT key, value FROM {newest('ev', where='seq <= (SELECT count(*) // 2 FROM events)')} WHERE op = 0")
+def store_snapshot(spark, d):
+    """A snapshot half way through the log, read after the rest was written, flushed and expired as far as it allows."""
+    store, log = _store(spark, "snapshot"), fx.events(spark, d)
+    half = log.agg(F.expr("count(*) div 2")).first()[0]
+    _written(store, log.where(F.col("seq") <= half))
+    version = store.snapshot()
+    _written(store, log.where(F.col("seq") > half))
+    store.flush()
+    store.expire_log(0)
+    return _text(store.view(version))
+
+
+@query("SELECT n_name AS key, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0")
+def tx_commit_store(spark, d):
+    """Nations are stored; a transaction puts their regions' names, deletes every fifth, and a second one is rolled back."""
+    store, nations = _store(spark, "tx"), fx.table(spark, d, "nation")
+    store.put_batch(_binary(nations.select(F.col("n_name").alias("key"), F.lit("?").alias("value"))))
+    regions = {r["r_regionkey"]: r["r_name"] for r in fx.table(spark, d, "region").collect()}
+    rows = nations.collect()
+    with Transaction(store) as tx:
+        for r in rows:
+            tx.put(r["n_name"], regions[r["n_regionkey"]])
+            if r["n_nationkey"] % 5 == 0:
+                tx.delete(r["n_name"])
+        tx.get(rows[0]["n_name"])
+        tx.commit(check_conflicts=True)
+    with Transaction(store) as tx:
+        tx.put(rows[0]["n_name"], "never")
+        tx.rollback()
+    return _text(store.view())
+
+
+@query(f"WITH {EV} SELECT key, value FROM {newest('ev')} WHERE op = 0")
+def stream_ingest(spark, d):
+    """The event table as a stream, committed to a store batch by batch."""
+    store = _store(spark, "stream")
+    schema = fx.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = stream.select(F.col("event_id").alias("seq"), (F.col("event_type") == "error").cast("tinyint").alias("op"), F.format_string("user:%05d", "user_id").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"))
+    ingest(rows, store, fx.scratch(spark, "stream-checkpoint"), ordinal="seq", available_now=True).awaitTermination()
+    store.refresh()
+    return _text(store.view())
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

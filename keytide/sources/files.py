@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import SparkSession
 
+from keytide.model import InvalidArgument
+
+#: Schemes of file systems that rename atomically and never onto what exists.
+RENAMES = frozenset(["hdfs", "viewfs", "abfs", "abfss"])
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
@@ -33,6 +39,12 @@ class Files:
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self.path(name)).getLength()
 
+    def age(self, name: str) -> float:
+        """Seconds since a folder or a file in it was changed."""
+        at = self.path(name)
+        times = [self._fs.getFileStatus(at).getModificationTime(), *(x.getModificationTime() for x in self._fs.listStatus(at))]
+        return time.time() - max(times) / 1000
+
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
 
@@ -47,8 +59,12 @@ class Files:
         """Publishes a file under a name that must be new; False if another writer took it.
 
         The content is written under another name first, so readers never see half of it. On a local disk a hard link
-        claims the name; elsewhere a rename that does not overwrite.
+        claims the name; on file systems whose rename is atomic and does not overwrite, a rename. Others are refused, as
+        two writers could both believe they had the name.
         """
+        scheme = self._fs.getUri().getScheme()
+        if scheme != "file" and scheme not in RENAMES:
+            raise InvalidArgument(f"commits are not safe on {scheme}://")
         temporary = f"{name}.{os.getpid()}-{os.urandom(6).hex()}.tmp"
         out = self._fs.create(self.path(temporary), False)
         try:
@@ -56,7 +72,7 @@ class Files:
         finally:
             out.close()
         try:
-            if self._fs.getUri().getScheme() == "file":
+            if scheme == "file":
                 local = lambda x: self.path(x).toUri().getPath()
                 try:
                     os.link(local(temporary), local(name))

@@ -10,11 +10,12 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions.keys import in_range, prefix_end
-from keytide.model import DELETE, LOG, MAX_BYTES, PUT, CommitConflict, Config, InvalidArgument, StoreClosed
+from keytide.model import DELETE, LOG, MAX_BYTES, PUT, CommitConflict, Config, Corrupted, InvalidArgument, StoreClosed
 from keytide.operators import merge, reads
 from keytide.operators.resolve import as_of, latest_per_key, live
 from keytide.operators.writes import delete_rows, one_commit, put_rows
@@ -22,8 +23,8 @@ from keytide.operators.writes import delete_rows, one_commit, put_rows
 from .files import Files
 from .manifest import Manifest, Manifests, Run, Segment
 
-#: Attempts at a commit against other writers.
-RETRIES = 5
+#: Manifest versions whose files are kept for readers.
+KEPT_VERSIONS = 10
 
 
 def as_bytes(x) -> bytes:
@@ -35,7 +36,7 @@ def as_bytes(x) -> bytes:
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
-        self.spark, self.config = spark, config or Config()
+        self.spark, self.path, self.config = spark, path, config or Config()
         self._files = Files(spark, path)
         self._manifests = Manifests(self._files)
         self._manifest: Manifest | None = self._manifests.newest()
@@ -98,10 +99,11 @@ class Store:
         """
         self._now()
         name = f"log/{uuid.uuid4().hex}"
-        one_commit(rows, ordinal).write.option("parquet.bloom.filter.enabled#key", "true").parquet(self._files.full(name))
-        stored = self.spark.read.schema("op tinyint, key binary, value binary").parquet(self._files.full(name))
-        n, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16), F.lit(0))).first()
-        for attempt in range(RETRIES):
+        seen = Observation()
+        counted = one_commit(rows, ordinal).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16), F.lit(0)).alias("size"))
+        counted.write.option("parquet.bloom.filter.enabled#key", "true").parquet(self._files.full(name))
+        n, size = seen.get["n"], seen.get["size"]
+        for attempt in range(self.config.commit_attempts):
             old = self._now()
             if batch and old.batches.get(batch[0], -1) >= batch[1] or not n:
                 self._files.delete(name)
@@ -113,12 +115,15 @@ class Store:
                 self._manifest = self._manifests.commit(old, seq=seq, segments=(*old.segments, Segment(name, seq, seq, n, size)), batches=old.batches | ({batch[0]: batch[1]} if batch else {}))
                 break
             except CommitConflict:
-                if attempt == RETRIES - 1:
+                if attempt == self.config.commit_attempts - 1:
                     self._files.delete(name)
                     raise
                 self.refresh()
         if sum(s.bytes for s in self._now().tail()) >= self.config.memtable_max_size:
-            self.flush()
+            try:
+                self.flush()
+            except CommitConflict:  # the rows are committed; another writer, or the next write, flushes
+                self.refresh()
         return seq
 
     # reading
@@ -128,12 +133,18 @@ class Store:
         if not segments:
             return self.spark.createDataFrame([], LOG)
         folder = F.regexp_extract(F.col("_metadata.file_path"), "/log/([0-9a-f]{32})/", 1)
-        rows = self.spark.read.schema("op tinyint, key binary, value binary").parquet(*[self._files.full(s.path) for s in segments]).withColumn("folder", folder)
+        rows = self._read("op tinyint, key binary, value binary", [s.path for s in segments]).withColumn("folder", folder)
         names = self.spark.createDataFrame([(s.path.removeprefix("log/"), s.min_seq) for s in segments], "folder string, seq bigint")
         return rows.join(F.broadcast(names), "folder").select("seq", "op", "key", "value")
 
+    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(*[self._files.full(p) for p in paths])
+        except AnalysisException as e:
+            raise Corrupted(f"files that the manifest names cannot be read: {e}") from e
+
     def _runs(self, runs: list[Run]) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(*[self._files.full(r.path) for r in runs]) if runs else self.spark.createDataFrame([], LOG)
+        return self._read(LOG, [r.path for r in runs]) if runs else self.spark.createDataFrame([], LOG)
 
     def rows(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
         """All rows that decide the newest state of a key range: runs that can hold it, and the log after them."""
@@ -141,6 +152,13 @@ class Store:
         both = self._runs([r for r in m.runs if r.may_hold(start, end)]).unionByName(self._segments(m.tail()))
         return both.where(in_range(F.col("key"), start, end))
 
+    def log_since(self, version: int) -> DataFrame:
+        """The log after a version; only its segments are read."""
+        m = self._now()
+        if version < m.log_start:
+            raise InvalidArgument(f"the log after version {version} is gone; it starts at {m.log_start}")
+        return self._segments([s for s in m.segments if s.max_seq > version]).where(F.col("seq") > version)
+
     def log(self, version: int | None = None) -> DataFrame:
         """The log up to a version; versions before log_start cannot be read any more."""
         m = self._now()
@@ -160,7 +178,11 @@ class Store:
         return bytes(got[0]["value"]) if got else None
 
     def multi_get(self, keys: DataFrame, version: int | None = None, size: int | None = None) -> DataFrame:
-        return reads.multi_get(self._at(version), keys, size)
+        """(key, found, value) of each wanted key; runs outside the range of the keys are not read."""
+        low, high = keys.agg(F.min("key"), F.max("key")).first()
+        if low is None:
+            return reads.multi_get(self._at(version, b"", b""), keys, size)
+        return reads.multi_get(self._at(version, bytes(low), bytes(high) + b"\0"), keys, size)
 
     def scan(self, start=None, end=None, version: int | None = None, limit: int | None = None) -> DataFrame:
         start, end = (None if x is None else as_bytes(x) for x in (start, end))
@@ -187,12 +209,12 @@ class Store:
         return self._now().seq
 
     def _change(self, change) -> None:
-        for attempt in range(RETRIES):
+        for attempt in range(self.config.commit_attempts):
             try:
                 self._manifest = self._manifests.commit(self._now(), **change(self._now()))
                 return
             except CommitConflict:
-                if attempt == RETRIES - 1:
+                if attempt == self.config.commit_attempts - 1:
                     raise
                 self.refresh()
 
@@ -212,28 +234,39 @@ class Store:
 
     # maintenance
 
-    def _write_run(self, rows: DataFrame, level: int, run_id: int) -> Run | None:
+    def _write_run(self, rows: DataFrame, level: int, run_id: int, n_bytes: int, n_rows: int) -> Run | None:
+        """A sorted run of rows that come from ``n_rows`` rows of ``n_bytes`` bytes, which size its files and their Bloom filters."""
         name = f"runs/{run_id:08d}-{uuid.uuid4().hex[:8]}"
-        m = self._now()
-        parts = max(1, -(-sum(x.bytes for x in (*m.runs, *m.tail())) // self.config.run_file_bytes))
-        ordered = rows.select("seq", "op", "key", "value").repartitionByRange(parts, "key").sortWithinPartitions("key")
-        options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "1000000", "parquet.page.size": str(max(1024, self.config.block_size))}
-        ordered.write.options(**options).parquet(self._files.full(name))
-        s = merge.run_stats(self.spark.read.schema(LOG).parquet(self._files.full(name)).withColumn("run", F.lit(run_id))).collect()
-        if not s:
+        parts = max(1, -(-n_bytes // self.config.run_file_bytes))
+        seen = Observation()
+        # observed above the exchange, whose sampling of ranges would count rows twice
+        ordered = rows.select("seq", "op", "key", "value").repartitionByRange(parts, "key").sortWithinPartitions("key").observe(seen, *merge.run_columns())
+        # a filter of b bits for each key misses absent keys at a rate of about 0.6185 ** b
+        options = {"enabled": "true", "expected.ndv": str(max(1, -(-n_rows // parts))), "fpp": f"{max(1e-9, 0.6185**self.config.bloom_bits_per_key):.12f}"}
+        ordered.write.options(**{f"parquet.bloom.filter.{k}#key": v for k, v in options.items()}, **{"parquet.page.size": str(max(1024, self.config.block_size))}).parquet(self._files.full(name))
+        s = seen.get
+        if not s["n_rows"]:
             self._files.delete(name)
             return None
-        s = s[0]
         return Run(run_id, level, name, bytes(s["min_key"]).hex(), bytes(s["max_key"]).hex(), s["n_rows"], s["bytes"], s["min_seq"], s["max_seq"])
 
+    def _publish(self, old: Manifest, run: Run | None, **changes) -> None:
+        """Commits a manifest with a new run; the run's files go if another writer was first."""
+        try:
+            self._manifest = self._manifests.commit(old, next_run=old.next_run + 1, **changes)
+        except CommitConflict:
+            if run:
+                self._files.delete(run.path)
+            raise
+
     def flush(self) -> Run | None:
         """Makes a run at level 0 of the log after the last flush; deletions are kept, the log stays."""
         m = self._now()
         tail = m.tail()
         if not tail:
             return None
-        run = self._write_run(latest_per_key(self._segments(tail)), 0, m.next_run)
-        self._manifest = self._manifests.commit(m, flushed_seq=m.seq, next_run=m.next_run + 1, runs=(*m.runs, *([run] if run else [])))
+        run = self._write_run(latest_per_key(self._segments(tail)), 0, m.next_run, sum(s.bytes for s in tail), sum(s.n_rows for s in tail))
+        self._publish(m, run, flushed_seq=m.seq, runs=(*m.runs, *([run] if run else [])))
         return run
 
     def needs_compaction(self) -> int | None:
@@ -252,9 +285,9 @@ class Store:
             return None
         taken = m.level(level) + m.level(level + 1)
         older = [r for r in m.runs if r.level > level + 1]
-        run = self._write_run(merge.compacted(self._runs(taken), not older), level + 1, m.next_run)
+        run = self._write_run(merge.compacted(self._runs(taken), not older), level + 1, m.next_run, sum(r.bytes for r in taken), sum(r.n_rows for r in taken))
         kept = tuple(r for r in m.runs if r not in taken)
-        self._manifest = self._manifests.commit(m, next_run=m.next_run + 1, runs=(*kept, *([run] if run else [])))
+        self._publish(m, run, runs=(*kept, *([run] if run else [])))
         return run
 
     def maintain(self) -> int:
@@ -265,8 +298,13 @@ class Store:
             done += 1
         return done
 
-    def expire_log(self) -> None:
-        """Drops log segments that are in runs and that no snapshot needs; then removes files that no manifest names."""
+    def expire_log(self, grace: float | None = None) -> None:
+        """Drops log segments that are in runs and that no snapshot needs; then removes files that nobody can need.
+
+        Those are files that none of the last KEPT_VERSIONS manifests names and that were last changed ``grace`` seconds
+        ago or more (Config.expire_grace): other writers' files that are not committed yet, and those of readers of
+        recent versions, stay.
+        """
 
         def change(m: Manifest) -> dict:
             oldest = min([m.flushed_seq, *(v for v, _ in m.snapshots)])
@@ -275,10 +313,10 @@ class Store:
             return {"segments": tuple(s for s in m.segments if s.max_seq > oldest), "log_start": max(m.log_start, oldest)}
 
         self._change(change)
-        m = self._now()
-        named = {s.path for s in m.segments} | {r.path for r in m.runs}
-        for folder in ("log", "runs"):
-            for name in self._files.names(folder):
-                if f"{folder}/{name}" not in named:
-                    self._files.delete(f"{folder}/{name}")
-        self._manifests.expire(1)
+        grace = self.config.expire_grace if grace is None else grace
+        found = [f"{folder}/{name}" for folder in ("log", "runs") for name in self._files.names(folder)]
+        self._manifests.expire(KEPT_VERSIONS)
+        named = {x.path for m in self._manifests.recent(KEPT_VERSIONS) for x in (*m.segments, *m.runs)}
+        for name in found:
+            if name not in named and self._files.age(name) >= grace:
+                self._files.delete(name)

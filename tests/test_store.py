@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keytide.functions.keys import prefix_end
-from keytide.model import CommitConflict, Config, InvalidArgument, StoreClosed, TxConflict, TxNotActive
+from keytide.model import CommitConflict, Config, Corrupted, InvalidArgument, StoreClosed, TxConflict, TxNotActive
 from keytide.sources.manifest import Manifests
 from keytide.sources.store import Store
 from keytide.sources.transaction import Transaction
@@ -256,3 +256,94 @@ def test_reads_push_the_key_range_to_the_scan(spark, path):
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
     assert len(s._runs([r for r in s._now().runs if r.may_hold(b"b", b"n")]).inputFiles()) == 1  # the other run is pruned
     assert s.rows().where(F.col("op") == 0).count() == 4
+
+
+def store_at(spark, tmp_path, **settings):
+    return Store.open(spark, f"file://{tmp_path}/s", Config(**{"memtable_max_size": 1 << 40} | settings))
+
+
+def test_expiry_spares_what_another_writer_has_not_committed(spark, tmp_path):
+    one, two = store_at(spark, tmp_path), store_at(spark, tmp_path)
+    one.put_batch([("a", "1")])
+
+    def meanwhile(m):  # the second writer's rows are on disk, its commit is not
+        if one.current_version() == 1:
+            one.flush()
+            one.put("b", "2")
+            one.flush()
+            one.expire_log()
+
+    two.refresh()
+    two.write(two._local([(0, 0, b"c", b"3")]), "ordinal", only_if=meanwhile)
+    again = store_at(spark, tmp_path)
+    assert {bytes(r["key"]): bytes(r["value"]) for r in again.view().collect()} == {b"a": b"1", b"b": b"2", b"c": b"3"}
+
+
+def test_expiry_spares_readers_of_recent_versions(spark, tmp_path):
+    one = store_at(spark, tmp_path)
+    one.put("a", "1")
+    reader = store_at(spark, tmp_path)
+    one.flush()
+    one.expire_log(0)
+    assert [bytes(r["value"]) for r in reader.view().collect()] == [b"1"]
+    for i in range(12):
+        one.put("a", str(i))
+    one.flush()
+    one.expire_log(0)
+    assert len(one._files.names("log")) <= 12 and one.get("a") == b"11"
+
+
+def test_conflicts_are_found_after_the_log_expired(spark, tmp_path):
+    one = store_at(spark, tmp_path)
+    one.put_batch([("a", "1"), ("b", "1")])
+    tx = Transaction(one)
+    assert tx.get("a") == b"1"
+    tx.put("b", "2")
+    one.put("a", "other")
+    one.flush()
+    one.expire_log(0)
+    with pytest.raises(TxConflict):
+        tx.commit(check_conflicts=True)
+    assert one.get("b") == b"1"
+
+
+def test_a_flush_that_loses_a_race_does_not_fail_the_write(spark, tmp_path, monkeypatch):
+    one = store_at(spark, tmp_path, memtable_max_size=1)
+    commit = Manifests.commit
+
+    def racing(self, old, **changes):
+        if "flushed_seq" in changes:
+            raise CommitConflict("another writer was first")
+        return commit(self, old, **changes)
+
+    monkeypatch.setattr(Manifests, "commit", racing)
+    assert one.put("a", "1") == 1
+    assert one.get("a") == b"1" and one._files.names("runs") == []
+
+
+def test_runs_are_sized_by_their_own_rows(spark, tmp_path):
+    one = store_at(spark, tmp_path, run_file_bytes=1000, bloom_bits_per_key=4)
+    one.put_batch([(f"k{i:05d}", "v" * 30) for i in range(500)])
+    big = one.flush()
+    one.put("x", "y")
+    small = one.flush()
+    files = lambda run: [n for n in one._files.names(run.path) if n.endswith(".parquet")]
+    assert len(files(small)) == 1 and len(files(big)) > 10 and big.n_rows == 500
+    assert one.multi_get(spark.createDataFrame([("k00007",), ("no",), ("x",)], "key string").selectExpr("cast(key as binary) key")).where("found").count() == 2
+
+
+def test_lost_files_are_reported_as_corruption(spark, tmp_path):
+    one = store_at(spark, tmp_path)
+    one.put("a", "1")
+    one._files.delete(one._now().segments[0].path)
+    with pytest.raises(Corrupted):
+        one.view()
+
+
+def test_a_single_attempt_gives_up_at_once(spark, tmp_path):
+    one, two = store_at(spark, tmp_path), store_at(spark, tmp_path, commit_attempts=1)
+    one.put("a", "1")
+    with pytest.raises(CommitConflict):
+        two.put("b", "2")
+    two.refresh()
+    assert two.put("b", "2") == 2
