@@ -122,14 +122,22 @@ def live_count(spark, d):
     return reads.live_count(fx.events(spark, d))
 
 
-@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev', where='seq <= 500')} WHERE op = 0")
+def _share(log: DataFrame, share: str) -> int:
+    """A part of the log's number of rows, as a version."""
+    return log.agg(F.expr(f"count(*) {share}")).first()[0]
+
+
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev', where='seq <= (SELECT count(*) // 2 FROM events)')} WHERE op = 0")
 def snapshot_view(spark, d):
-    return resolve.view(fx.events(spark, d), 500)
+    """The state half way through the log."""
+    log = fx.events(spark, d)
+    return resolve.view(log, _share(log, "div 2"))
 
 
-@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev', where='seq <= 700')} WHERE op = 0 AND key >= 'user:00020' AND key < 'user:00090'")
+@query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev', where='seq <= (SELECT count(*) * 7 // 10 FROM events)')} WHERE op = 0 AND key >= 'user:00020' AND key < 'user:00090'")
 def snapshot_range(spark, d):
-    return reads.scan(fx.events(spark, d), "user:00020", "user:00090", version=700)
+    log = fx.events(spark, d)
+    return reads.scan(log, "user:00020", "user:00090", version=_share(log, "* 7 div 10"))
 
 
 @query(f"WITH {EV} SELECT key, value, seq FROM {newest('ev')} WHERE op = 0")
@@ -233,12 +241,12 @@ def tx_read_own_writes(spark, d):
     return resolve.live(resolve.latest_per_key(mine, order=("tx_seq",))).select("key", "value")
 
 
-@query(f"WITH {EV} SELECT DISTINCT key FROM ev WHERE seq > (SELECT count(*) // 2 FROM events) AND key IN (SELECT key FROM ev WHERE seq <= 50)")
+@query(f"WITH {EV} SELECT DISTINCT key FROM ev WHERE seq > (SELECT count(*) // 2 FROM events) AND key IN (SELECT key FROM ev WHERE seq <= (SELECT count(*) // 100 FROM events))")
 def tx_conflict_keys(spark, d):
-    """Keys read by a transaction (those of the first 50 commits) that were written after it began half way."""
+    """Keys read by a transaction (those of the log's first hundredth) that were written after it began half way."""
     log = fx.events(spark, d)
     begin = log.agg(F.expr("count(*) div 2").alias("half"))
-    read = log.where("seq <= 50").select("key").distinct()
+    read = log.where(F.col("seq") <= _share(log, "div 100")).select("key").distinct()
     since = log.join(F.broadcast(begin), F.col("seq") > F.col("half")).select("key")
     return since.join(read, "key", "left_semi").distinct()
 
@@ -343,7 +351,14 @@ def block_prune(spark, d):
 
 FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, strlen(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 TWO = "(CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) | 1)"
-M, K = bloom.parameters(150)
+M, K = "(SELECT greatest(1, count(DISTINCT key)) * 10 FROM ev)", bloom.parameters(1)[1]
+
+
+def _sized(keys: DataFrame) -> tuple[int, int]:
+    """Bits and hash functions for a table of distinct keys."""
+    return bloom.parameters(keys.count())
+
+
 BITS = f"h AS (SELECT DISTINCT key, {FNV} AS h1, {TWO} AS h2 FROM ev), bits AS (SELECT DISTINCT key, (h1 + i * h2) % 4294967296 % {M} AS bit FROM (SELECT *, unnest(range({K})) AS i FROM h))"
 
 
@@ -359,21 +374,23 @@ def bloom_parameters(spark, d):
 
 @query(f"WITH {EV}, {BITS} SELECT DISTINCT bit FROM bits")
 def bloom_bits(spark, d):
-    return bloom.build(fx.events(spark, d).select("key").distinct(), M, K)
+    keys = fx.events(spark, d).select("key").distinct()
+    return bloom.build(keys, *_sized(keys))
 
 
 @query(f"WITH {EV}, q AS (SELECT DISTINCT key || '?' AS key FROM ev UNION SELECT key FROM ev), {BITS}, s AS (SELECT DISTINCT bit FROM bits), " + f"w AS (SELECT DISTINCT key, (h1 + i * h2) % 4294967296 % {M} AS bit FROM (SELECT key, {FNV} AS h1, {TWO} AS h2, unnest(range({K})) AS i FROM q)) SELECT key, bool_and(s.bit IS NOT NULL) AS maybe FROM w LEFT JOIN s USING (bit) GROUP BY key")
 def bloom_probe(spark, d):
     """All keys that were added, and as many that were not."""
     keys = fx.events(spark, d).select("key").distinct()
-    return bloom.probe(bloom.build(keys, M, K), keys.unionByName(keys.select(F.concat("key", F.lit("?")).alias("key"))), M, K)
+    m, k = _sized(keys)
+    return bloom.probe(bloom.build(keys, m, k), keys.unionByName(keys.select(F.concat("key", F.lit("?")).alias("key"))), m, k)
 
 
 @query("SELECT 0::BIGINT AS missed")
 def bloom_fn_zero(spark, d):
     """How many keys of a filter's own it misses; the filter is sized by the number of keys."""
     keys = fx.events(spark, d).select("key").distinct()
-    m, k = bloom.parameters(keys.count())
+    m, k = _sized(keys)
     return bloom.probe(bloom.build(keys, m, k), keys, m, k).agg(F.count_if(~F.col("maybe")).alias("missed"))
 
 
