@@ -100,7 +100,7 @@ class Page:
     def __init__(self, source: str):
         self.name, self.parent, self.last, self.mark, self.inside = ["#"], [0], [0], [0], [False]
         self.chars, self.linked, self.tags, self.links, self.main = [0], [0], [0], [0], [False]
-        self.runs: list[tuple[int, str]] = []  # (node, text); text "\n" alone is the border of a block
+        self.runs: list[tuple[int, str | None]] = []  # (node, text); None is the border of a block
         self._parse(source)
 
     def _open(self, name: str, rest: str, parent: int) -> int:
@@ -123,7 +123,7 @@ class Page:
                 in_link -= n == "a"
                 self.last[i] = len(self.name) - 1
                 if n in BLOCK:
-                    runs.append((i, "\n"))
+                    runs.append((i, None))
 
         def find(names: tuple[str, ...], fence: frozenset) -> int:
             for d in range(len(stack) - 1, 0, -1):
@@ -162,7 +162,7 @@ class Page:
             name = name.lower()
             if m["end"]:
                 if name == "br" or name == "p" and not count.get("p"):
-                    runs.append((stack[-1], " " if name == "br" else "\n"))
+                    runs.append((stack[-1], " " if name == "br" else None))
                 elif count.get(name):
                     d = find((name,), frozenset())
                     if d:
@@ -185,10 +185,10 @@ class Page:
                 at = end.end() if end else len(source)
                 self.mark[i] = 2
             elif name in VOID:
-                runs.append((i, "\n" if name == "hr" else " " if name == "br" else ""))
+                runs.append((i, None if name == "hr" else " " if name == "br" else ""))
             elif not rest.rstrip().endswith("/") or name in BLOCK or name in ("a", "b", "i", "span", "em", "strong"):
                 if name in BLOCK:
-                    runs.append((i, "\n"))
+                    runs.append((i, None))
                 stack.append(i)
                 count[name] = count.get(name, 0) + 1
                 in_link += name == "a"
@@ -256,19 +256,22 @@ class Page:
             i = parent[i]
             path.append(i)
         least = min((density[x] for x in path[:-1]), default=density[best])
-        root = best
+        root, children = best, {i: [] for i in path}
+        for x in range(1, n):
+            if parent[x] in children and not gone[x] and chars[x]:
+                children[parent[x]].append(x)
         for up in path[1:]:
             outside = chars[up] - chars[root]
             if not outside:
                 if name[up] in MAIN:
                     root = up
                 continue
-            near = any(density[x] >= least or name[x] in ("h1", "h2", "p") for x in range(up + 1, self.last[up] + 1) if parent[x] == up and not gone[x] and chars[x] and not (x <= root <= self.last[x]))
+            near = any(density[x] >= least or name[x] in ("h1", "h2", "p") for x in children[up] if not x <= root <= self.last[x])
             if near or name[up] in MAIN:
                 root = up
         blocks, block = [], []
         for i, part in self.runs:
-            if part == "\n":
+            if part is None:
                 if block:
                     blocks.append(block)
                     block = []

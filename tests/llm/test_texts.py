@@ -137,6 +137,7 @@ PAGES = [
     ("<script>var t='</p>';</script><style>p{}</style><p>only this<!-- no --></p><form>Search <input></form>", "only this"),
     ("<ul><li>a<li>b</ul>", "a\nb"),
     ("<article><p>unclosed <b>bold<p>next", "unclosed bold\nnext"),
+    ("<p>a<b>&#10;</b>c</p><p>&#32;</p><p>d&nbsp;e</p>", "a c\nd e"),
     ("<<<a < b>>", None),
     ("<p " * 3000, None),
     ("<div>" * 3000 + "deep", "deep"),
