@@ -109,3 +109,16 @@ def test_rollup(spark, tmp_path):
     assert total() == {("s", None, 1, 9), (None, "en", 1, 0)}
     again = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
     assert not again.commit("revise", load) and len(again.batches()) == 4
+    assert state.merge() and not again.merge() and total() == {("s", None, 1, 9), (None, "en", 1, 0)}
+    assert not again.commit("load 1/a", load) and again.commit("load 2", load)
+    assert total() == {("s", "en", 1, 5), ("s", None, 2, 11), (None, "en", 2, 0)}
+    assert state.merge() and total() == {("s", "en", 1, 5), ("s", None, 2, 11), (None, "en", 2, 0)}
+
+
+def test_one_of_two_drivers_commits_a_batch(spark, tmp_path, monkeypatch):
+    one, two = (rollup.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    load = rollup.change(spark.createDataFrame([("s", "en", 5)], "source string, lang string, n int"), "v1", (0, 0), (1, 5))
+    staged = one._staged
+    monkeypatch.setattr(one, "_staged", lambda x: [staged(x), two.commit("b", load)][0])  # the other one is faster
+    assert not one.commit("b", load)
+    assert [(r["n_docs"], r["n_tokens"]) for r in one.totals().collect()] == [(1, 5)]
