@@ -125,7 +125,7 @@ places AS (
   WHERE x.words[i + 1:i + len(p.words)] = p.words
 ),
 base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS base FROM places GROUP BY rid),
-lines AS (SELECT rid, {split('line')} AS words FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM w)),
+lines AS (SELECT rid, words FROM w UNION ALL SELECT rid, {split('line')} AS words FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM w)),
 blocks AS (SELECT rid, words[s + 1:s + {BLOCK}] AS words FROM (SELECT rid, words, unnest(range(0, greatest(len(words) - {STEP}, 1), {STEP})) AS s FROM lines) y),
 met AS (
   SELECT rid, label, len(list_intersect(t.words, b.words)) AS shared, len(t.words) AS size FROM blocks b, templates t

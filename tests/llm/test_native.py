@@ -57,6 +57,7 @@ def test_license_statements_cross_lines(spark):
         ("mit", "x\n" * 20 + " ".join(w + " pad" for w in words)),  # a line longer than any two blocks of the text share
     ]
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    same(licenses.scanned(df), licenses.sql(), [(i, t, None, None) for i, (_, t) in enumerate(texts)])
     got = {r["doc_id"]: r for r in licenses.scanned(df).collect()}
     for i, (want, _) in enumerate(texts):
         assert got[i]["labels"] == want and (got[i]["score"] >= 0.9) == bool(want) and got[i]["n_base"] == 0
