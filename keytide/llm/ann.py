@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import smallest_hashes, written
+from .scratch import smallest_hashes, trimmed, written
 
 SAMPLE, LISTS, LIST_SIZE = 16384, 1024, 128
 COPIES, BORDER = 3, 1.1
@@ -135,7 +135,7 @@ def listed(df: DataFrame, graph: Graph, beam: int, ratio: float, most: int | Non
                 out = part.take(pa.array(r))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at[r, c], pa.int32()), pa.array(c, pa.int32())], names=[*part.schema.names, "list", "nth"])
 
-    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", list int, nth int")
+    return df.mapInArrow(trimmed(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", list int, nth int")
 
 
 def searched(posted: DataFrame, probing: DataFrame, cut: DataFrame, k: int) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import small_batches, trimmed
 from .words import slices
 
 #: The pattern of the byte-level pre-tokenizer and its special token's text.
@@ -245,7 +245,7 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     names = [id_col, "ids"] + ["decoded"] * decode
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:

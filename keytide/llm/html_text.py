@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import small_batches, trimmed
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -298,4 +298,4 @@ def extracted(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("p
 
     small_batches(df.sparkSession)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, f"{schema}, text string, n_chars long")
+    return df.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(trimmed(run), f"{schema}, text string, n_chars long")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .routing import chosen, key_bits, marking
-from .scratch import dropped, released, written
+from .scratch import dropped, released, trimmed, written
 from .words import LOWER, Texts, gram_hashes, i64, mix, slices, within, word_hashes, words
 
 #: Cells of the word-count sketch.
@@ -108,7 +108,7 @@ def censused(texts: DataFrame, k: int) -> DataFrame:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(at.size, np.int32)), pa.nulls(at.size, pa.int64()), pa.array(cells[at]), pa.array(at), pa.array(np.zeros(at.size, np.int64))], names=names)
 
-    return written(texts.select("id", "text").mapInArrow(run, "kind int, id long, n long, a long, b long"), "sets")
+    return written(texts.select("id", "text").mapInArrow(trimmed(run), "kind int, id long, n long, a long, b long"), "sets")
 
 
 def prefixed(texts: DataFrame, k: int, num: int, den: int, weight: np.ndarray, shared: int, ids: DataFrame | None = None, late: np.ndarray | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def prefixed(texts: DataFrame, k: int, num: int, den: int, weight: np.ndarray, s
                 core = place < (n - least_overlap(2 * n, num, num + den) + shared)[own]
                 yield pa.RecordBatch.from_arrays([pa.array(i64(value[place + at[:-1][own]])), pa.array(a[own]), pa.array(core)], names=["key", "a", "core"])
 
-    return written(rows.mapInArrow(run, "key long, a long, core boolean"), "prefixes")
+    return written(rows.mapInArrow(trimmed(run), "key long, a long, core boolean"), "prefixes")
 
 
 def with_company(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +166,7 @@ def collected(texts: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.binary(), t.rows, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(value.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows), raw], names=["id", "shingles"])
 
-    return written(rows.mapInArrow(run, "id long, shingles binary").where("length(shingles) > 0"), "members")
+    return written(rows.mapInArrow(trimmed(run), "id long, shingles binary").where("length(shingles) > 0"), "members")
 
 
 def band(n: str, num: int, den: int):
@@ -219,7 +219,7 @@ def subset_keys(small: DataFrame, size: int) -> DataFrame:
                 at = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(i64(np.concatenate(keys))), *(part.column(c).take(at) for c in range(4)), pa.array(np.concatenate(cores))], names=["key", "band", "id", "n", "q", "core"])
 
-    return small.groupBy("band", "id", "n", "q").agg(F.collect_list(F.struct("key", "core")).alias("keys")).mapInArrow(run, "key long, band int, id long, n long, q int, core boolean")
+    return small.groupBy("band", "id", "n", "q").agg(F.collect_list(F.struct("key", "core")).alias("keys")).mapInArrow(trimmed(run), "key long, band int, id long, n long, q int, core boolean")
 
 
 def most_enumerable(shared: int) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import small_batches, trimmed
 from .words import Texts, slices
 
 BUCKETS = 1 << 13
@@ -69,7 +69,7 @@ def training_counts(df: DataFrame, text_col: str, lang_col: str) -> pd.DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "bucket", "n"])
 
     parts = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return parts.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    return parts.mapInArrow(trimmed(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
 
 
 def codewords(k: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def predicted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .routing import marking
-from .scratch import smallest_hashes, written
+from .scratch import smallest_hashes, trimmed, written
 from .words import SPACE, gram_hashes, i64, mix, slices, within, word_hashes, words
 
 #: Most labelled rows that the forest is fitted on.
@@ -100,7 +100,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", id
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows)] + [pa.array(got[c], pa.int64()) for c in COUNTS], names=[id_col, *COUNTS])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(trimmed(run), f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -190,7 +190,7 @@ def scored(df: DataFrame, forest: Forest) -> DataFrame:
             rows = features({c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.scores(rows), pa.float64())], names=[*batch.schema.names, "score"])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double")
+    return df.mapInArrow(trimmed(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double")
 
 
 def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple[Forest | None, float]:
@@ -233,4 +233,4 @@ def passing(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     keep &= forest.scores(features(got)) < cut
                 yield batch.slice(t.first, t.rows).filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)

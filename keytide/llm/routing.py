@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import trimmed
+
 PER_KEY, LEAST, MOST = 16, 1 << 20, 1 << 28
 
 
@@ -64,7 +66,7 @@ def routed(rows: DataFrame, bits, cols: list[str], want: bool) -> DataFrame:
 
     place = free_name(rows.columns, "_bit")
     out = rows.withColumn(place, bit_of(cols, bits.value.size * 8))
-    return out.mapInArrow(run, out.schema).drop(place)
+    return out.mapInArrow(trimmed(run), out.schema).drop(place)
 
 
 def chosen(rows: DataFrame, keys: DataFrame, cols: list[str], n_keys: int | None = None) -> DataFrame:

@@ -6,23 +6,42 @@ nothing. A cluster has to set that folder; a session with a local master gets a
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch: whole texts are long, and Spark's default of 10,000 of them fills several times their bytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: whole texts are long, and Spark's default of 10,000 of them fills several times their
+#: bytes, in the JVM's direct memory and in the worker. A row longer than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets BATCH_ROWS for the session, unless it has a value of its own."""
+    """Sets BATCH_ROWS and BATCH_BYTES for the session, unless it has values of its own."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after whose last batch the worker, which Spark keeps for later tasks, gives free memory back."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return then
 
 
 def shared_dir(spark: SparkSession) -> str:

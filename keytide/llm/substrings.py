@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .routing import bit_of, chosen, free_name, key_bits, marked
-from .scratch import written
+from .scratch import trimmed, written
 from .words import Texts, Words, gram_hashes, i64, mix, slices, within, word_hashes, words
 
 WINDOW, GRAM = 50, 8
@@ -148,11 +148,11 @@ def merged_sketch(texts: DataFrame, window: int, gram: int, size: int) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), blob(0), blob(1), pa.array([True] * len(total), pa.bool_())], names=names)
 
     names, schema = ["part", "one", "two", "packed"], "part int, one binary, two binary, packed boolean"
-    built = texts.select("text").mapInArrow(build, schema)
+    built = texts.select("text").mapInArrow(trimmed(build), schema)
     sets = -(-built.rdd.getNumPartitions() // FAN_IN)
     if sets > 1:  # a first level, so that no task merges the sketches of very many others
-        built = built.withColumn("set", F.spark_partition_id() % sets).repartition(PARTS * sets, "part", "set").drop("set").mapInArrow(merge, schema)
-    rows = built.repartition(PARTS, "part").mapInArrow(merge, schema).select("part", "two").collect()
+        built = built.withColumn("set", F.spark_partition_id() % sets).repartition(PARTS * sets, "part", "set").drop("set").mapInArrow(trimmed(merge), schema)
+    rows = built.repartition(PARTS, "part").mapInArrow(trimmed(merge), schema).select("part", "two").collect()
     bits = np.zeros(ROWS * size // 8, np.uint8)
     for r in rows:
         bits[r["part"] * part_size // 8 : (r["part"] + 1) * part_size // 8] |= np.frombuffer(zlib.decompress(bytes(r["two"])), np.uint8)
@@ -182,7 +182,7 @@ def repeated_anchors(texts: DataFrame, bits: np.ndarray, window: int, gram: int)
                 rows = pa.array(own[ok] + t.first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(i64(anchor[ok]))], names=["id", "th", "anchor"])
 
-    found = written(texts.select("id", "th", "text").mapInArrow(run, "id long, th long, anchor long"), "anchors")
+    found = written(texts.select("id", "th", "text").mapInArrow(trimmed(run), "id long, th long, anchor long"), "anchors")
     who = F.struct("id", "th")
     again = found.groupBy("anchor").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("NOT (a <=> b)").select("anchor")
     return written(found.join(again, "anchor").groupBy("id", "th").agg(F.collect_list("anchor").alias("anchors")), "anchored")
@@ -279,7 +279,7 @@ def settled(texts: DataFrame, anchored: DataFrame, window: int, gram: int) -> Da
         return pa.table({"id": one["id"].take(head), "th": one["th"].take(head), "first": pa.array(pos[at[:-1]], pa.int32()), "number": pa.array(np.diff(at), pa.int32())})
 
     rows = chosen(texts, anchored, KEY).alias("x").join(anchored.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.th") == F.col("y.th"))).select("x.id", "x.th", "x.text", "y.anchors")
-    parts = written(rows.mapInArrow(split, schema), "windows")
+    parts = written(rows.mapInArrow(trimmed(split), schema), "windows")
     windows = parts.where("part >= 0").agg(F.coalesce(F.sum("number"), F.lit(0))).first()[0]
     groups = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(windows) // CHUNK))
     far = parts.where("part >= 0").withColumn("part", F.col("part") % groups).groupBy("part").applyInArrow(group, "id long, th long, first int, number int")
@@ -363,6 +363,6 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         result = f"`{id_col}` {schema[id_col].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<first: long, last: long>>, kept string"
     found = gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), F.col("runs").alias(own_runs)).alias("g")
-    near = rows.mapInArrow(to_join, rows.schema)
+    near = rows.mapInArrow(trimmed(to_join), rows.schema)
     far = near.alias("r").join(found, F.col(f"r.{own_id}").eqNullSafe(F.col("g.gone_id")) & (F.col(f"r.{own_th}") == F.col("g.gone_th")), "left").select("r.*", f"g.{own_runs}")
-    return rows.mapInArrow(untouched, result).unionByName(far.mapInArrow(touched, result))
+    return rows.mapInArrow(trimmed(untouched), result).unionByName(far.mapInArrow(trimmed(touched), result))
